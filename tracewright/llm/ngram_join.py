@@ -36,39 +36,62 @@ from pyspark.sql import functions as F
 
 from . import store
 from .graph import components
-from .text import Words, mix, slices
+from .text import STEP_BYTES, Words, mix, slices
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS = 20
+#: Rows from which a column counts as frequent, and how many counters may be.
+HOT_ROWS, HOT_COUNTERS = 2000, 4096
 _PART = 1 << 14  # counters a row of the sketch holds while partitions are added up
 
 
-def shingles(texts: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): distinct shingle hashes of each text in order of hash, and where each text's begin."""
+def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first): the hash of every window of words, and where each text's begin."""
     words = Words(texts)
     h = words.hashes()
     n = np.where(words.count >= width, words.count - width + 1, np.minimum(words.count, 1))
     first = np.concatenate(([0], np.cumsum(n)))
     doc = np.repeat(np.arange(len(texts)), n)
     at = words.first[:-1][doc] + np.arange(first[-1]) - first[:-1][doc]
+    last = words.first[1:][doc]
     padded = np.concatenate((h, np.zeros(width, np.uint64)))
     mixed = np.zeros(len(at), np.uint64)
     for k in range(width):
-        inside = at + k < words.first[1:][doc]
-        mixed = mix(mixed * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, padded[np.minimum(at + k, len(h))], np.uint64(k + 1)))
-    order = np.lexsort((mixed, doc))
-    mixed, doc = mixed[order], doc[order]
+        mixed = mix(mixed * np.uint64(0x9E3779B97F4A7C15) + np.where(at + k < last, padded[at + k], np.uint64(k + 1)))
+    return mixed, first
+
+
+def _order(doc: np.ndarray, level: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """The order by document, level (below 256) and hash: one packed key, all three where keys tie."""
+    spare = 64 - int(doc[-1]).bit_length() if len(doc) else 64
+    key = doc.astype(np.uint64) << np.uint64(spare) if spare < 64 else np.zeros(len(doc), np.uint64)
+    if level is not None:
+        spare -= 8
+        key |= level.astype(np.uint64) << np.uint64(spare)
+    key |= h >> np.uint64(64 - spare)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    if (same & (h[order][1:] != h[order][:-1])).any():
+        return np.lexsort((h, doc) if level is None else (h, level, doc))
+    return order
+
+
+def shingles(texts: list[bytes], width: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): distinct shingle hashes of each text in order of hash, and where each text's begin."""
+    mixed, first = _windows(texts, width)
+    doc = np.repeat(np.arange(len(texts)), np.diff(first))
+    order = _order(doc, None, mixed)
+    mixed = mixed[order]
     new = np.concatenate(([True], (mixed[1:] != mixed[:-1]) | (doc[1:] != doc[:-1]))) if len(mixed) else np.zeros(0, bool)
-    mixed, doc = mixed[new], doc[new]
-    return mixed, np.searchsorted(doc, np.arange(len(texts) + 1))
+    return mixed[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
 def _sketch(batches):
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     any_ = False
-    for _, texts in slices(batches):
-        h, _ = shingles(texts)
+    for _, texts in slices(batches, step=8 * STEP_BYTES):
+        h = np.concatenate([_windows(texts[i : i + 256], WORDS)[0] for i in range(0, len(texts), 256)])
         counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
         any_ = True
     if any_:
@@ -105,26 +128,56 @@ def _rows(sketch):
 
     def run(batches):
         counts = sketch.value
+        levels = np.minimum(np.log2(np.maximum(counts, 1)) * 8, 255).astype(np.uint8)
         for batch, texts in slices(batches):
             h, first = shingles(texts)
-            often = counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             n = np.diff(first)
             doc = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, often, doc))
+            order = _order(doc, level, h)
             rank = np.arange(len(h)) - first[:-1][doc]
             take = rank < np.where(n > 0, prefix_length(n), 0)[doc]
             prefix = h[order][take].view(np.int64)
             offsets = np.concatenate(([0], np.cumsum(np.bincount(doc[take], minlength=len(n))))).astype(np.int32)
-            central = np.bincount(doc, np.log1p(often), len(n)) / np.maximum(n, 1)
-            keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).hexdigest() for a, b in zip(first[:-1], first[1:])]
+            central = (np.bincount(doc, level, len(n)) / np.maximum(n, 1) * 256).astype(np.int64)
+            keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(keys), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), pa.array(central)],
-                names=["doc_id", "key", "n", "prefix", "central"],
+                [batch.column("doc_id"), pa.array(keys), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), pa.array(central << 32 | n)],
+                names=["doc_id", "key", "n", "prefix", "info"],
             )
 
     return run
 
 
+def _met(batches):
+    """Rows sorted by column: those of columns that more than one row has, with the column's centre."""
+    held: list[np.ndarray] = []
+
+    def told(column, doc, info):
+        cut = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        size = np.diff(np.append(cut, len(column)))
+        top = np.maximum.reduceat(info, cut) if len(cut) else info
+        run = np.repeat(np.arange(len(cut)), size)
+        best = np.where(info == top[run], doc, np.iinfo(np.int64).min)
+        centre = np.maximum.reduceat(best, cut) if len(cut) else best
+        take = size[run] > 1
+        run = run[take]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (column[take], doc[take], info[take] & 0xFFFFFFFF, centre[run], top[run] & 0xFFFFFFFF)], names=["column", "doc_id", "n", "centre", "n_centre"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(c)) for c in ("column", "doc_id", "info")]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        held = [x[last:] for x in columns]
+        if last:
+            yield told(*[x[:last] for x in columns])
+    if held:
+        yield told(*held)
+
+
 def _full_rows(bitmap):
     def run(batches):
         have = bitmap.value
@@ -142,47 +195,69 @@ def _large_enough(a: Column, b: Column) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
-def _multiplied(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, n_a, n_b) with ``both``, the exact overlap count of their full rows."""
-    left = rows.select(F.col("doc_id").alias("a"), F.col("row").alias("row_a"))
-    right = rows.select(F.col("doc_id").alias("b"), F.col("row").alias("row_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("row_a", "row_b")).cast("long").alias("both"))
+def _multiplied(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with n_a, n_b and ``both``, the exact overlap count of their full rows.  Rows are
+    made anew from the texts, of the documents in pairs only."""
+    context = docs.sparkSession.sparkContext
+
+    def rows(name: str) -> DataFrame:
+        bitmap = context.broadcast(store.filter_of(pairs.select(store.filter_bit(name).alias("bit"))))
+        return docs.mapInArrow(_full_rows(bitmap), "doc_id long, row array<long>").select(F.col("doc_id").alias(name), F.col("row").alias(f"row_{name}"))
+
+    joined = pairs.join(rows("a"), "a").join(rows("b").join(pairs.select("b").distinct(), "b", "left_semi"), "b")
+    return joined.select("a", "b", F.size("row_a").alias("n_a"), F.size("row_b").alias("n_b"), F.size(F.array_intersect("row_a", "row_b")).alias("both"))
 
 
 def _linked() -> Column:
     return DENOMINATOR * F.col("both") >= NUMERATOR * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
+def _columns(entries: DataFrame, hot: Column) -> DataFrame:
+    """(column, doc_id, n, centre, n_centre) of the entries (column, doc_id, info) of columns that more
+    than one row has; the centre is the row with the largest info.  Columns that the sketch says are
+    frequent are aggregated before they are dealt out, the others are sorted."""
+    few = entries.where(~hot)
+    schema = "column long, doc_id long, n long, centre long, n_centre long"
+    met = few.repartition("column").sortWithinPartitions("column").mapInArrow(_met, schema)
+    many = entries.where(hot).dropDuplicates(["column", "doc_id"])
+    of = many.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("info", "doc_id")).alias("top")).where("rows > 1")
+    size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    wide = many.join(of, "column").select("column", "doc_id", size("info").alias("n"), F.col("top.doc_id").alias("centre"), size("top.info").alias("n_centre"))
+    return met.unionByName(wide)
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     spark = store.prepare(docs.sparkSession)
     context = spark.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = context.broadcast(frequency_sketch(docs))
-    rows = store.written(docs.mapInArrow(_rows(sketch), "doc_id long, key string, n long, prefix array<long>, central double"), "ngram-rows")
+    counts = frequency_sketch(docs)
+    sketch = context.broadcast(counts)
+    rows = store.written(docs.mapInArrow(_rows(sketch), "doc_id long, key binary, n long, prefix array<long>, info long"), "ngram-rows")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = store.written(usable.groupBy("key", "n").agg(F.min("doc_id").alias("a")), "ngram-classes")
-    # entries of the columns, one row of each class
-    entries = usable.join(classes.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "n", "central", F.explode("prefix").alias("column"))
-    entries = entries.dropDuplicates(["column", "doc_id"])
-    shared = entries.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.max_by("doc_id", F.struct("central", "doc_id")).alias("centre"), F.max_by("n", F.struct("central", "doc_id")).alias("n_centre")).where("rows > 1").drop("rows")
-    entries = store.written(entries.drop("central").join(shared, "column"), "ngram-entries")
-    stars = entries.where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b"), F.col("n").alias("n_a"), F.col("n_centre").alias("n_b")).distinct()
-    bitmap = context.broadcast(store.filter_of(entries.select(store.filter_bit("doc_id").alias("bit"))))
-    full = docs.where("doc_id is not null").withColumn("bit", store.filter_bit("doc_id")).mapInArrow(_full_rows(bitmap), "doc_id long, row array<long>")
-    full = full.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    full = store.written(full, "ngram-full")
-    products = store.written(_multiplied(stars.where(_large_enough(F.col("n_a"), F.col("n_b"))), full), "ngram-products")
-    links = products.where(_linked()).select("a", "b")
-    found = store.written(components(links), "ngram-components")
-    # columns in which rows of more than one component meet
-    label = found.select(F.col("node").alias("doc_id"), "component")
-    placed = entries.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("column")
-    distance = products.select(F.col("a").alias("doc_id"), F.col("b").alias("centre"), (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("distance"))
+    entries = usable.join(classes.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "info", F.explode("prefix").alias("column"))
+    # counters far above the rest, few whatever the input
+    frequent = np.flatnonzero(counts >= max(HOT_ROWS, int(np.partition(counts, -HOT_COUNTERS)[-HOT_COUNTERS]), 8 * int(counts.mean())))
+    counter = F.shiftrightunsigned("column", 64 - SKETCH_BITS)
+    entries = store.written(_columns(entries, counter.isin([int(i) for i in frequent]) if len(frequent) else F.lit(False)), "ngram-entries")
+    docs = docs.where("doc_id is not null").withColumn("bit", store.filter_bit("doc_id"))
+    # first each row with the centre that it shares most columns with
+    stars = entries.where(F.col("doc_id") != F.col("centre")).groupBy(F.col("doc_id").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("columns"), F.first("n").alias("n"), F.first("n_centre").alias("n_centre"))
+    stars = store.written(stars.where(_large_enough(F.col("n"), F.col("n_centre"))), "ngram-stars")
+    best = store.written(stars.groupBy("a").agg(F.max_by("b", F.struct("columns", "b")).alias("b")), "ngram-best")
+    products = store.written(_multiplied(best, docs), "ngram-products")
+    found = components(products.where(_linked()).select("a", "b"))
+    placed = store.written(_mixed(entries, found), "ngram-mixed")
+    # then, in columns where rows of several components meet, each row with the centre
+    open_ = placed.where(F.col("doc_id") != F.col("centre")).where(_large_enough(F.col("n"), F.col("n_centre"))).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    more = store.written(_multiplied(store.written(open_.join(best, ["a", "b"], "left_anti"), "ngram-open"), docs), "ngram-products")
+    products = products.unionByName(more)
+    found = components(products.where(_linked()).select("a", "b"))
+    placed = _mixed(entries, found)
+    distance = products.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("centre")).agg(F.min(1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("distance"))
     bound = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
-    placed = placed.join(mixed, "column", "left_semi").join(distance, ["doc_id", "centre"], "left")
+    placed = placed.join(distance, ["doc_id", "centre"], "left")
     own = F.col("doc_id") == F.col("centre")
     placed = placed.select("column", "doc_id", "n", "component", F.when(own, 0.0).otherwise(F.coalesce("distance", bound)).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("far"))
     placed = store.written(placed, "ngram-placed")
@@ -191,15 +266,22 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     rest = x.join(y, "column").where(
         (F.col("component_x") < F.col("component_y")) & _large_enough(F.col("n_x"), F.col("n_y")) & (F.col("near_x") - F.col("far_y") <= apart) & (F.col("near_y") - F.col("far_x") <= apart)
     )
-    rest = rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("n_x").alias("n_a"), F.col("n_y").alias("n_b")).distinct()
-    more = store.written(_multiplied(rest, full).where(_linked()).select("a", "b"), "ngram-links")
-    found = components(links.unionByName(more))
+    rest = rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().join(products.select("a", "b"), ["a", "b"], "left_anti")
+    last = store.written(_multiplied(store.written(rest, "ngram-rest"), docs), "ngram-products").where(_linked())
+    found = components(products.where(_linked()).select("a", "b").unionByName(last.select("a", "b")))
     labels = classes.join(found.select(F.col("node").alias("a"), "component"), "a", "left").select("key", F.coalesce("component", "a").alias("component"))
     labels = store.written(labels, "ngram-labels")
     joined = rows.select("doc_id", "key", "n").join(labels, "key", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """``entries`` with their component, of the columns in which several components meet."""
+    placed = entries.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("column")
+    return placed.join(several, "column", "left_semi")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one of each component (its smallest doc_id), all columns kept."""
     spark = docs.sparkSession

@@ -6,6 +6,7 @@ it works on UTF-8 bytes, where neither the six blanks nor A-Z can be part of a l
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes; a single longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -90,3 +91,11 @@ def slices(batches, column: str = "text", step: int = STEP_BYTES) -> Iterator[tu
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + step, "right")))
             yield batch.slice(at, to - at), [t or b"" for t in texts.slice(at, to - at).to_pylist()]
             at = to
+    release()
+
+
+def release() -> None:
+    """Hand free memory back to the system: a worker lives on after its task."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
