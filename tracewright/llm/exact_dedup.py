@@ -143,7 +143,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     groups = routed.groupBy("text_sha256", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1").drop("bytes")
     groups = store.written(groups, "dedup-groups")
     single = F.col("group_size").isNull()
-    return digests.join(groups, "text_sha256", "left").select(
+    return digests.transform(store.merged, groups, "text_sha256", "left").select(
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -166,7 +166,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     flagged = docs.withColumn("__maybe", bit)
     maybe = flagged.where("__maybe").withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
     known = found.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"), F.col("kept").alias("__kept"))
-    maybe = maybe.join(known, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key")), "left")
+    maybe = maybe.transform(store.merged, known, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key")), "left")
     kept = maybe.where("__kept is null or __kept")
     alone, grouped = kept.where("__kept is null"), kept.where("__kept").dropDuplicates(["doc_id", "__sha"])
     return flagged.where("not __maybe").select(*docs.columns).unionByName(alone.select(*docs.columns)).unionByName(grouped.select(*docs.columns))

@@ -133,18 +133,18 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEE
     wanted = targets(sizes, weights, share)
     totals = spark.createDataFrame([(k, int(v), float(wanted[k])) for k, v in sizes.items()], "key string, source_size long, target double")
     schema = "key string, size long, documents long, source_size long, target double, times int, take long"
-    planned = store.written(counted.join(totals, "key").groupBy("key").applyInPandas(_planned, schema), "mix-plan")
+    planned = store.written(counted.transform(store.merged, totals, "key").groupBy("key").applyInPandas(_planned, schema), "mix-plan")
     part = planned.where("take > 0 and take < documents").select("key", "size", "take", F.ceil(F.col("documents") / BUCKET).alias("buckets"))
     bucket = F.floor((F.col("order") / F.lit(float(2**64)) + 0.5) * F.col("buckets")).cast("long")
-    dealt = sized.join(part, ["key", "size"]).withColumn("bucket", bucket).select("key", "size", "bucket", "take", "order")
+    dealt = sized.transform(store.merged, part, ["key", "size"]).withColumn("bucket", bucket).select("key", "size", "bucket", "take", "order")
     held = dealt.groupBy("key", "size", "bucket", "take").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("key", "size").orderBy("bucket"))
     edge = store.written(held.withColumn("upto", upto).where("upto >= take and upto - n < take").select("key", "size", "bucket", (F.col("take") - F.col("upto") + F.col("n")).alias("nth")), "mix-edges")
     rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("order"))
-    cut = dealt.drop("take").join(edge, ["key", "size", "bucket"]).withColumn("rank", rank).where("rank = nth").select("key", "size", F.col("order").alias("at"))
+    cut = dealt.drop("take").transform(store.merged, edge, ["key", "size", "bucket"]).withColumn("rank", rank).where("rank = nth").select("key", "size", F.col("order").alias("at"))
     end = F.lit(2**63 - 1)
     return store.written(
-        planned.join(cut, ["key", "size"], "left").select("key", "size", "source_size", "target", "times", F.when(F.col("take") == 0, F.lit(None)).when(F.col("take") == F.col("documents"), end).otherwise(F.col("at")).alias("cut")),
+        planned.transform(store.merged, cut, ["key", "size"], "left").select("key", "size", "source_size", "target", "times", F.when(F.col("take") == 0, F.lit(None)).when(F.col("take") == F.col("documents"), end).otherwise(F.col("at")).alias("cut")),
         "mix-cuts",
     )
 
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED
     store.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     plans = plan(docs, weights, share, seed).withColumnsRenamed({"key": "__key", "size": "__size"})
-    joined = _described(docs, seed).drop("text", "source").join(plans, ["__key", "__size"])
+    joined = _described(docs, seed).drop("text", "source").transform(store.merged, plans, ["__key", "__size"])
     return joined.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * _times()).alias("taken"))
 
 
@@ -167,6 +167,6 @@ def repeat_to_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed:
     store.prepare(docs.sparkSession)
     plans = plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), weights, share, seed)
     plans = plans.select(F.col("key").alias("__key"), F.col("size").alias("__size"), "times", "cut").withColumnsRenamed({"times": "__times", "cut": "__cut"})
-    joined = _described(docs, seed).join(plans, ["__key", "__size"])
+    joined = _described(docs, seed).transform(store.merged, plans, ["__key", "__size"])
     times = F.col("__times") + F.coalesce((F.col("__order") <= F.col("__cut")).cast("int"), F.lit(0))
     return joined.where(F.col("__size") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)

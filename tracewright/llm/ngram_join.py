@@ -204,7 +204,7 @@ def _multiplied(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         bitmap = context.broadcast(store.filter_of(pairs.select(store.filter_bit(name).alias("bit"))))
         return docs.mapInArrow(_full_rows(bitmap), "doc_id long, row array<long>").select(F.col("doc_id").alias(name), F.col("row").alias(f"row_{name}"))
 
-    joined = pairs.join(rows("a"), "a").join(rows("b").join(pairs.select("b").distinct(), "b", "left_semi"), "b")
+    joined = pairs.transform(store.merged, rows("a"), "a").transform(store.merged, rows("b").transform(store.merged, pairs.select("b").distinct(), "b", "left_semi"), "b")
     return joined.select("a", "b", F.size("row_a").alias("n_a"), F.size("row_b").alias("n_b"), F.size(F.array_intersect("row_a", "row_b")).alias("both"))
 
 
@@ -222,7 +222,7 @@ def _columns(entries: DataFrame, hot: Column) -> DataFrame:
     many = entries.where(hot).dropDuplicates(["column", "doc_id"])
     of = many.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("info", "doc_id")).alias("top")).where("rows > 1")
     size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    wide = many.join(of, "column").select("column", "doc_id", size("info").alias("n"), F.col("top.doc_id").alias("centre"), size("top.info").alias("n_centre"))
+    wide = many.transform(store.merged, of, "column").select("column", "doc_id", size("info").alias("n"), F.col("top.doc_id").alias("centre"), size("top.info").alias("n_centre"))
     return met.unionByName(wide)
 
 
@@ -236,7 +236,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     rows = store.written(docs.mapInArrow(_rows(sketch), "doc_id long, key binary, n long, prefix array<long>, info long"), "ngram-rows")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = store.written(usable.groupBy("key", "n").agg(F.min("doc_id").alias("a")), "ngram-classes")
-    entries = usable.join(classes.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "info", F.explode("prefix").alias("column"))
+    entries = usable.transform(store.merged, classes.select("key", F.col("a").alias("doc_id")), ["key", "doc_id"]).select("doc_id", "info", F.explode("prefix").alias("column"))
     # counters far above the rest, few whatever the input
     frequent = np.flatnonzero(counts >= max(HOT_ROWS, int(np.partition(counts, -HOT_COUNTERS)[-HOT_COUNTERS]), 8 * int(counts.mean())))
     counter = F.shiftrightunsigned("column", 64 - SKETCH_BITS)
@@ -251,35 +251,35 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     placed = store.written(_mixed(entries, found), "ngram-mixed")
     # then, in columns where rows of several components meet, each row with the centre
     open_ = placed.where(F.col("doc_id") != F.col("centre")).where(_large_enough(F.col("n"), F.col("n_centre"))).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    more = store.written(_multiplied(store.written(open_.join(best, ["a", "b"], "left_anti"), "ngram-open"), docs), "ngram-products")
+    more = store.written(_multiplied(store.written(open_.transform(store.merged, best, ["a", "b"], "left_anti"), "ngram-open"), docs), "ngram-products")
     products = products.unionByName(more)
     found = components(products.where(_linked()).select("a", "b"))
     placed = _mixed(entries, found)
     distance = products.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("centre")).agg(F.min(1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("distance"))
     bound = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
-    placed = placed.join(distance, ["doc_id", "centre"], "left")
+    placed = placed.transform(store.merged, distance, ["doc_id", "centre"], "left")
     own = F.col("doc_id") == F.col("centre")
     placed = placed.select("column", "doc_id", "n", "component", F.when(own, 0.0).otherwise(F.coalesce("distance", bound)).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("far"))
     placed = store.written(placed, "ngram-placed")
     x, y = (placed.select(F.col("column"), *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "near", "far")]) for s in ("x", "y"))
     apart = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    rest = x.join(y, "column").where(
+    rest = x.transform(store.merged, y, "column").where(
         (F.col("component_x") < F.col("component_y")) & _large_enough(F.col("n_x"), F.col("n_y")) & (F.col("near_x") - F.col("far_y") <= apart) & (F.col("near_y") - F.col("far_x") <= apart)
     )
-    rest = rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().join(products.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().transform(store.merged, products.select("a", "b"), ["a", "b"], "left_anti")
     last = store.written(_multiplied(store.written(rest, "ngram-rest"), docs), "ngram-products").where(_linked())
     found = components(products.where(_linked()).select("a", "b").unionByName(last.select("a", "b")))
-    labels = classes.join(found.select(F.col("node").alias("a"), "component"), "a", "left").select("key", F.coalesce("component", "a").alias("component"))
+    labels = classes.transform(store.merged, found.select(F.col("node").alias("a"), "component"), "a", "left").select("key", F.coalesce("component", "a").alias("component"))
     labels = store.written(labels, "ngram-labels")
-    joined = rows.select("doc_id", "key", "n").join(labels, "key", "left")
+    joined = rows.select("doc_id", "key", "n").transform(store.merged, labels, "key", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
     """``entries`` with their component, of the columns in which several components meet."""
-    placed = entries.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = entries.transform(store.merged, found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("column")
-    return placed.join(several, "column", "left_semi")
+    return placed.transform(store.merged, several, "column", "left_semi")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -289,5 +289,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     gone = store.written(gone, "ngram-gone")
     bitmap = store.filter_of(gone.select(store.filter_bit("doc_id").alias("bit")))
     flagged = docs.withColumn("__maybe", F.coalesce(store.in_filter(spark, bitmap, store.filter_bit(F.col("doc_id").cast("long"))), F.lit(False)))
-    maybe = flagged.where("__maybe").join(gone.select(F.col("doc_id").alias("__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    maybe = flagged.where("__maybe").transform(store.merged, gone.select(F.col("doc_id").alias("__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
     return flagged.where("not __maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))

@@ -29,8 +29,8 @@ from .text import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Segments that a worker remembers; text that one step takes.
-REMEMBERED, STEP = 300_000, 1 << 22
+#: Segments that a worker remembers, text that one step takes, characters that one suffix array indexes.
+REMEMBERED, STEP, INDEXED = 300_000, 1 << 21, 1 << 18
 
 _SEGMENT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _NONE = np.int64(1) << 40
@@ -42,6 +42,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         self.size = len(pieces)
+        self.name = hashlib.sha256(repr(pieces).encode()).hexdigest()
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.decoded = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(BLANK, " ").encode() if kind == "text" else b"" for p, _, kind in pieces]
         ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == "text"}
@@ -223,19 +224,22 @@ def load(path: str = MODEL) -> list[tuple[str, float, str]]:
 class Encoder:
     """Encodes whole texts, remembering the segments seen last."""
 
-    def __init__(self, pieces: list[tuple[str, float, str]]):
-        self.vocabulary = Vocabulary(pieces)
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         cut = [_SEGMENT.findall(BLANK + t.decode("utf-8", "replace").replace(" ", BLANK)) if t else [] for t in texts]
-        fresh = set().union(*cut).difference(self.known) if cut else set()
+        wanted = set().union(*cut)
+        fresh = sorted(wanted.difference(self.known))
         if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = set().union(*cut)
-        if fresh:
-            fresh = sorted(fresh)
-            self.known.update(zip(fresh, self.vocabulary.encode(fresh)))
+            self.known = {s: self.known[s] for s in wanted.difference(fresh)}
+        ends = np.cumsum([len(s) for s in fresh])
+        at = 0
+        while at < len(fresh):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + INDEXED, "right")))
+            self.known.update(zip(fresh[at:to], self.vocabulary.encode(fresh[at:to])))
+            at = to
         of = self.known.__getitem__
         return [np.frombuffer(b"".join(map(of, segments)), np.int32) for segments in cut]
 
@@ -247,12 +251,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder_of(pieces) -> Encoder:
-    key = hashlib.sha256(repr(pieces).encode()).hexdigest() if not isinstance(pieces, tuple) else pieces[0]
-    if key not in _encoders:
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """This worker's encoder: it lives as long as the worker uses the same model."""
+    if vocabulary.name not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(pieces[1] if isinstance(pieces, tuple) else pieces)
-    return _encoders[key]
+        _encoders[vocabulary.name] = Encoder(vocabulary)
+    return _encoders[vocabulary.name]
 
 
 def _encode(model):
@@ -279,7 +283,6 @@ def _encode(model):
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, ids, decoded_sha256, round_trip for each row of ``docs`` (doc_id, text)."""
     spark = store.prepare(docs.sparkSession)
-    pieces = load(model)
-    shared = spark.sparkContext.broadcast((hashlib.sha256(repr(pieces).encode()).hexdigest(), pieces))
+    shared = spark.sparkContext.broadcast(Vocabulary(load(model)))
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     return docs.mapInArrow(_encode(shared), "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
