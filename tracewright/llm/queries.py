@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, media, mixing, ngram_join, pieces, quality, secrets
+from . import exact_dedup, katz, langid, media, mixing, ngram_join, pieces, quality, secrets, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_sentencepiece, op6_source_mixing, op7_secret_scan, op8_exact_dedup, op9_language_id, op10_media_flac)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_ngram_jaccard_join, op3_sentencepiece, op4_lm_scoring, op5_url_filter, op6_source_mixing, op7_secret_scan, op8_exact_dedup, op9_language_id, op10_media_flac)}
 
 ORACLES = {
     "op2_ngram_jaccard_join": r"""
@@ -61,6 +69,36 @@ pairs AS (
 reach AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id
 FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, s.s""",
+    "op5_url_filter": r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS pos_ FROM pages),
+r AS (SELECT page_id, CASE WHEN pos_ > 0 THEN substr(url, pos_ + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+q AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+  split_part(path, '/', 2) AS a1, split_part(path, '/', 3) AS a2 FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said,
+  CASE WHEN regexp_matches(a1, '[0-9]') THEN '*' ELSE a1 END AS s1, CASE WHEN regexp_matches(a2, '[0-9]') THEN '*' ELSE a2 END AS s2 FROM q),
+n0 AS (SELECT host, s1, s2, count(*) AS cnt, count(said) AS n, count(*) FILTER (said = 'block') AS b FROM v GROUP BY ALL),
+c1 AS (SELECT host, s1, sum(cnt) AS cc FROM n0 GROUP BY ALL), m1 AS (SELECT host, count(*) AS ch FROM c1 GROUP BY ALL),
+n1 AS (SELECT n0.*, CASE WHEN cc < 3 AND ch > 20 THEN '*' ELSE s1 END AS t1 FROM n0 JOIN c1 USING (host, s1) JOIN m1 USING (host)),
+c2 AS (SELECT host, t1, s2, sum(cnt) AS cc FROM n1 GROUP BY ALL), m2 AS (SELECT host, t1, count(*) AS ch FROM c2 GROUP BY ALL),
+n2 AS (SELECT n1.*, CASE WHEN cc < 3 AND ch > 20 THEN '*' ELSE s2 END AS t2 FROM n1 JOIN c2 USING (host, t1, s2) JOIN m2 USING (host, t1)),
+o1 AS (SELECT host, t1, sum(n) AS n, sum(b) AS b FROM n2 GROUP BY ALL HAVING sum(n) > 0),
+p1 AS (SELECT host, sum(n) AS pn, sum(b) AS pb FROM o1 GROUP BY ALL),
+e1 AS (SELECT *, abs(b / n - pb / pn) * sqrt(CAST(n AS DOUBLE)) <= 1.96 * sqrt((pb / pn) * (1 - pb / pn)) AS alike FROM o1 JOIN p1 USING (host)),
+f1 AS (SELECT host, t1, CASE WHEN alike THEN sum(n) FILTER (alike) OVER w ELSE n END AS bn, CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS bb FROM e1 WINDOW w AS (PARTITION BY host)),
+o2 AS (SELECT host, t1, t2, sum(n) AS n, sum(b) AS b FROM n2 GROUP BY ALL HAVING sum(n) > 0),
+p2 AS (SELECT host, t1, sum(n) AS pn, sum(b) AS pb FROM o2 GROUP BY ALL),
+e2 AS (SELECT *, abs(b / n - pb / pn) * sqrt(CAST(n AS DOUBLE)) <= 1.96 * sqrt((pb / pn) * (1 - pb / pn)) AS alike FROM o2 JOIN p2 USING (host, t1)),
+f2 AS (SELECT host, t1, t2, CASE WHEN alike THEN sum(n) FILTER (alike) OVER w ELSE n END AS bn, CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS bb FROM e2 WINDOW w AS (PARTITION BY host, t1)),
+t AS (SELECT n2.host, s1, s2, n2.host || '/' || n2.t1 || '/' || n2.t2 AS template,
+  (coalesce(f2.bb, f1.bb, 0) + 0.8) / (coalesce(f2.bn, f1.bn, 0) + 4.0) AS purity
+  FROM n2 LEFT JOIN f1 ON f1.host = n2.host AND f1.t1 = n2.t1 LEFT JOIN f2 ON f2.host = n2.host AND f2.t1 = n2.t1 AND f2.t2 = n2.t2)
+SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM v LEFT JOIN t ON t.host = v.host AND t.s1 = v.s1 AND t.s2 = v.s2""",
     "op8_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
