@@ -11,7 +11,7 @@ Tables stay distributed.  A chunk is some megabytes of neighbouring documents; i
 distinct words, then each of its distinct bigrams, once to the shard that counts them (sorted, packed),
 and gets the totals back in the same order, so no text and no table is ever joined token by token.  Shards
 hash words by themselves and bigrams by history; a history so frequent that it would fill a shard is
-dealt by both of its words, and its sums are put together again by the chunks.
+dealt by both of its words, and the sums of such histories (at most ``FREQUENT``) are told to all chunks.
 
 * null and empty text: the end token alone; words are as ``text.Words`` has them; words are compared by
   64-bit hashes; a training set without rows gives every token the unknown class;
@@ -137,7 +137,7 @@ def _word_totals(shards: int, most: int):
 class _Chunk:
     """A chunk with its words' totals and numbers, and its distinct bigrams in order of their numbers."""
 
-    def __init__(self, row: pd.DataFrame, told: pd.DataFrame, shards: int, limit: int):
+    def __init__(self, row: pd.DataFrame, told: pd.DataFrame, shards: int, limit: int, most: int):
         word_shard = unpack(row["shards"].iloc[0])
         self.tokens, self.lengths, held = (unpack(row[c].iloc[0]) for c in ("tokens", "lengths", "held"))
         self.held = held == 1
@@ -158,7 +158,7 @@ class _Chunk:
         self.history, self.word = np.where(h >= 0, number[at], BEGIN), number[w]
         self.word_total = self.total[w]
         self.count = np.bincount(self.place, np.repeat(~self.held, self.lengths), len(keys)).astype(np.int64)
-        frequent = np.where(h >= 0, self.total[at], limit) >= limit
+        frequent = (np.where(h >= 0, self.total[at], limit) >= limit) & (self.history <= most)
         mixed = self.history * 0x9E3779B1 + np.where(frequent, self.word * 0x85EBCA77, 0)
         self.shard = ((mixed ^ (mixed >> 15)) & 0x7FFFFFFF) % shards
 
@@ -169,7 +169,7 @@ def _requests(shards: int, limit: int, most: int):
     def run(key, row: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(row):
-            c = _Chunk(row, told, shards, limit)
+            c = _Chunk(row, told, shards, limit, most)
             order = np.argsort(c.shard, kind="stable")
             for s, p in enumerate(np.split(order, np.searchsorted(c.shard[order], np.arange(1, shards)))):
                 if len(p):
@@ -183,7 +183,7 @@ def _requests(shards: int, limit: int, most: int):
 _STATS = DISCOUNTED + 2  # tokens after a history, words that follow it 1, 2, ... times, and their mass
 
 
-def _bigram_totals(frequent):
+def _bigram_totals(frequent, limit: int):
     """Of one shard: for every chunk its bigrams' totals and, for each of its histories, what follows in
     training; and one row with the shard's table of counts."""
 
@@ -212,11 +212,13 @@ def _bigram_totals(frequent):
         rows = []
         for chunk, own, at in zip(group["chunk"], h, np.split(place, np.cumsum([len(x) for x in h])[:-1])):
             i = np.searchsorted(histories, own[np.concatenate(([True], own[1:] != own[:-1]))])
-            rows.append((chunk, shard, pack(total[at]), b"".join(len(x).to_bytes(4, "big") + x for x in map(pack, stats[:, i])), None, None, None))
+            rows.append((chunk, shard, pack(total[at]), b"".join(len(x).to_bytes(4, "big") + x for x in map(pack, stats[:, i])), None, None, None, None))
         seen = total > 0
-        rows.append((None, shard, pack(total[seen]), None, pack(hs[seen]), pack(ws[seen]), [int((total == r).sum()) for r in range(1, DISCOUNTED + 2)]))
+        part = (histories == BEGIN) | ((histories <= most) & (top[np.minimum(histories, most)] >= limit))
+        often = [(int(k), x) for k, x in zip(histories[part], stats[:, part].T.tolist())]
+        rows.append((None, shard, pack(total[seen]), None, pack(hs[seen]), pack(ws[seen]), [int((total == r).sum()) for r in range(1, DISCOUNTED + 2)], often))
         release()
-        return pd.DataFrame(rows, columns=["chunk", "shard", "totals", "stats", "histories", "words", "counts_of_counts"]).astype({"chunk": "Int64"})
+        return pd.DataFrame(rows, columns=["chunk", "shard", "totals", "stats", "histories", "words", "counts_of_counts", "often"]).astype({"chunk": "Int64"})
 
     return run
 
@@ -235,14 +237,14 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
-def _scores(shards: int, limit: int, d: np.ndarray, base_n: int, base_v: int):
+def _scores(shards: int, limit: int, most: int, d: np.ndarray, base_n: int, base_v: int, often):
     """Of one chunk: its documents' scores."""
     whole = base_n + 0.5 * (base_v + 1)
 
     def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(row):
             return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        c = _Chunk(row, answers[answers["numbers"].notna()], shards, limit)
+        c = _Chunk(row, answers[answers["numbers"].notna()], shards, limit, most)
         grams = answers[answers["stats"].notna()]
         count = np.zeros(len(c.history), np.int64)
         of = np.cumsum(np.concatenate(([True], c.history[1:] != c.history[:-1]))) - 1
@@ -257,6 +259,11 @@ def _scores(shards: int, limit: int, d: np.ndarray, base_n: int, base_v: int):
                 size = int.from_bytes(packed[at : at + 4], "big")
                 stats[k, mine] += unpack(packed[at + 4 : at + 4 + size])
                 at += 4 + size
+        numbers, sums = often.value
+        histories = c.history[np.concatenate(([True], c.history[1:] != c.history[:-1]))]
+        at = np.minimum(np.searchsorted(numbers, histories), len(numbers) - 1)
+        whole_sums = numbers[at] == histories
+        stats[:, whole_sums] = sums[:, at[whole_sums]]
         after, mass = stats[0], 0.5 * stats[-1] / whole
         kept = after - ((1 - d[1:])[:, None] * np.arange(1, DISCOUNTED + 1)[:, None] * stats[1:-1]).sum(0)
         # a history whose followers are all beyond the discounted counts leaves nothing: one count is set aside
@@ -266,7 +273,8 @@ def _scores(shards: int, limit: int, d: np.ndarray, base_n: int, base_v: int):
         unigram = np.log10((c.word_total + 0.5) / whole)
         seen = count > 0
         value = weight[of] + unigram
-        value[seen] = np.log10(d[np.where(count <= DISCOUNTED, count, 0)] * count)[seen] - np.log10((after + aside)[of])[seen]
+        n = count[seen]
+        value[seen] = np.log10(d[np.where(n <= DISCOUNTED, n, 0)] * n) - np.log10((after + aside)[of[seen]])
         first = np.cumsum(c.lengths) - c.lengths
         add = lambda x: np.add.reduceat(x, first)
         ids, present = unpack(row["ids"].iloc[0]), unpack(row["present"].iloc[0]) == 1
@@ -305,7 +313,7 @@ def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CH
     for r in words.where("chunk is null").collect():  # a row a shard; ``most`` totals in all
         base_v, base_n = base_v + r["types"], base_n + r["sum"]
         frequent[r["shard"] + 1 :: shards][: r["top"]] = unpack(r["totals"])
-    limit = max(64, base_n // (4 * shards))
+    limit = max(64, base_n // min(4 * shards, FREQUENT))  # so at most FREQUENT words are that frequent
     told = words.where("chunk is not null").select("chunk", "shard", "totals", "numbers")
 
     def word_shards(batches):
@@ -316,11 +324,13 @@ def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CH
 
     lean = chunks.mapInArrow(word_shards, "chunk long, ids binary, present binary, held binary, lengths binary, tokens binary, shards binary")
     asked = lean.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_requests(shards, limit, most), "chunk long, shard int, histories binary, words binary, counts binary, rare binary")
-    schema = "chunk long, shard int, totals binary, stats binary, histories binary, words binary, counts_of_counts array<long>"
-    grams = store.written(asked.groupBy("shard").applyInPandas(_bigram_totals(spark.sparkContext.broadcast(frequent)), schema), "katz-bigrams")
+    schema = "chunk long, shard int, totals binary, stats binary, histories binary, words binary, counts_of_counts array<long>, often array<struct<h:long,s:array<long>>>"
+    grams = store.written(asked.groupBy("shard").applyInPandas(_bigram_totals(spark.sparkContext.broadcast(frequent), limit), schema), "katz-bigrams")
     n = [0] * (DISCOUNTED + 1)
     for r in grams.where("chunk is null").select(F.posexplode("counts_of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
         n[r["r"]] = r["n"]
+    sums = grams.where("chunk is null").select(F.inline("often")).groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_STATS)]).orderBy("h").toPandas().to_numpy(np.int64)
+    often = spark.sparkContext.broadcast((sums[:, 0].copy(), sums[:, 1:].T.copy()) if len(sums) else (np.array([-1]), np.zeros((_STATS, 1), np.int64)))
     answers = told.withColumn("stats", F.lit(None).cast("binary")).unionByName(grams.where("chunk is not null").select("chunk", "shard", "totals", F.lit(None).cast("binary").alias("numbers"), "stats"))
     result = lean.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return result.applyInPandas(_scores(shards, limit, discounts(n), base_n, base_v), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return result.applyInPandas(_scores(shards, limit, most, discounts(n), base_n, base_v, often), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
