@@ -11,9 +11,11 @@ The document by shingle incidence matrix is multiplied with its transpose in blo
    frequent), not each other row: a family of near copies costs one product a member.  Products are
    exact: overlap counts of the full rows.  Pairs whose sizes alone bound the similarity below the
    threshold are discarded before.
-4. Rows that are connected by links found so far need no more products among themselves.  For the other
-   pairs of a column the triangle inequality of the Jaccard distance on the known distances to the
-   central row, and the sizes, discard what cannot link; what is left is multiplied exactly.
+4. Columns with the same rows are one block, weighted.  Rows that are connected by links found so far
+   need no more products among themselves.  For the other pairs of a block the sizes, the columns that
+   prefixes of such sizes must share (against those counted over all blocks), and the triangle inequality
+   of the Jaccard distance on the known distances to the central row discard what cannot link; what is
+   left is multiplied exactly.
 
 So every link between documents of different components would be found: components are exact, whatever
 the order or the sketch.  Shingles are compared by 64-bit hashes of their words.
@@ -150,7 +152,8 @@ def _rows(sketch):
 
 
 def _met(batches):
-    """Rows sorted by column: those of columns that more than one row has, with the column's centre."""
+    """Rows sorted by column: those of columns that more than one row has, with the column's centre and, as
+    its block, a hash of the set of its rows."""
     held: list[np.ndarray] = []
 
     def told(column, doc, info):
@@ -160,9 +163,10 @@ def _met(batches):
         run = np.repeat(np.arange(len(cut)), size)
         best = np.where(info == top[run], doc, np.iinfo(np.int64).min)
         centre = np.maximum.reduceat(best, cut) if len(cut) else best
+        block = np.bitwise_xor.reduceat(mix(doc.view(np.uint64) + np.uint64(1)), cut).view(np.int64) if len(cut) else column
         take = size[run] > 1
         run = run[take]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (column[take], doc[take], info[take] & 0xFFFFFFFF, centre[run], top[run] & 0xFFFFFFFF)], names=["column", "doc_id", "n", "centre", "n_centre"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (block[run], doc[take], info[take] & 0xFFFFFFFF, centre[run], top[run] & 0xFFFFFFFF)], names=["block", "doc_id", "n", "centre", "n_centre"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -190,6 +194,14 @@ def _full_rows(bitmap):
     return run
 
 
+def _needed(a: Column, b: Column) -> Column:
+    """Columns that the prefixes of a linked pair of these sizes share at least: of the overlap that the
+    threshold asks for, no more than one row's entries beyond its prefix can lie outside of them."""
+    beyond = lambda n: F.floor((NUMERATOR * n + DENOMINATOR - 1) / DENOMINATOR) - 1
+    both = NUMERATOR + DENOMINATOR
+    return F.greatest(F.floor((NUMERATOR * (a + b) + both - 1) / both) - F.greatest(beyond(a), beyond(b)), F.lit(1))
+
+
 def _large_enough(a: Column, b: Column) -> Column:
     """Sizes alone allow the threshold."""
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
@@ -213,17 +225,18 @@ def _linked() -> Column:
 
 
 def _columns(entries: DataFrame, hot: Column) -> DataFrame:
-    """(column, doc_id, n, centre, n_centre) of the entries (column, doc_id, info) of columns that more
-    than one row has; the centre is the row with the largest info.  Columns that the sketch says are
-    frequent are aggregated before they are dealt out, the others are sorted."""
+    """(block, doc_id, n, centre, n_centre, weight) of the entries (column, doc_id, info) of columns that
+    more than one row has; the centre is the row with the largest info.  Columns with the same rows are one
+    block of that weight.  Columns that the sketch says are frequent are aggregated before they are dealt
+    out (and are blocks of their own), the others are sorted."""
     few = entries.where(~hot)
-    schema = "column long, doc_id long, n long, centre long, n_centre long"
+    schema = "block long, doc_id long, n long, centre long, n_centre long"
     met = few.repartition("column").sortWithinPartitions("column").mapInArrow(_met, schema)
     many = entries.where(hot).dropDuplicates(["column", "doc_id"])
     of = many.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("info", "doc_id")).alias("top")).where("rows > 1")
     size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    wide = many.transform(store.merged, of, "column").select("column", "doc_id", size("info").alias("n"), F.col("top.doc_id").alias("centre"), size("top.info").alias("n_centre"))
-    return met.unionByName(wide)
+    wide = many.transform(store.merged, of, "column").select(F.col("column").alias("block"), "doc_id", size("info").alias("n"), F.col("top.doc_id").alias("centre"), size("top.info").alias("n_centre"))
+    return met.unionByName(wide).groupBy("block", "doc_id", "n", "centre", "n_centre").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -242,31 +255,40 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     counter = F.shiftrightunsigned("column", 64 - SKETCH_BITS)
     entries = store.written(_columns(entries, counter.isin([int(i) for i in frequent]) if len(frequent) else F.lit(False)), "ngram-entries")
     docs = docs.where("doc_id is not null").withColumn("bit", store.filter_bit("doc_id"))
+    have = entries.groupBy("doc_id").agg(F.sum("weight").alias("have"))
+    entries = store.written(entries.transform(store.merged, have, "doc_id"), "ngram-blocks")
     # first each row with the centre that it shares most columns with
-    stars = entries.where(F.col("doc_id") != F.col("centre")).groupBy(F.col("doc_id").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("columns"), F.first("n").alias("n"), F.first("n_centre").alias("n_centre"))
-    stars = store.written(stars.where(_large_enough(F.col("n"), F.col("n_centre"))), "ngram-stars")
+    stars = entries.where(F.col("doc_id") != F.col("centre")).groupBy(F.col("doc_id").alias("a"), F.col("centre").alias("b")).agg(F.sum("weight").alias("columns"), F.first("n").alias("n"), F.first("n_centre").alias("n_centre"))
+    stars = store.written(stars.where(_large_enough(F.col("n"), F.col("n_centre")) & (F.col("columns") >= _needed(F.col("n"), F.col("n_centre")))), "ngram-stars")
     best = store.written(stars.groupBy("a").agg(F.max_by("b", F.struct("columns", "b")).alias("b")), "ngram-best")
     products = store.written(_multiplied(best, docs), "ngram-products")
     found = components(products.where(_linked()).select("a", "b"))
-    placed = store.written(_mixed(entries, found), "ngram-mixed")
-    # then, in columns where rows of several components meet, each row with the centre
-    open_ = placed.where(F.col("doc_id") != F.col("centre")).where(_large_enough(F.col("n"), F.col("n_centre"))).select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    more = store.written(_multiplied(store.written(open_.transform(store.merged, best, ["a", "b"], "left_anti"), "ngram-open"), docs), "ngram-products")
-    products = products.unionByName(more)
+    # then each row with its blocks' other centres, where they are of another component
+    label = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    open_ = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(label, "a", "left").join(label.withColumnsRenamed({"a": "b", "ca": "cb"}), "b", "left")
+    open_ = open_.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    products = products.unionByName(store.written(_multiplied(store.written(open_, "ngram-open"), docs), "ngram-products"))
     found = components(products.where(_linked()).select("a", "b"))
-    placed = _mixed(entries, found)
+    # what is left: pairs of a block whose components differ, and which neither the sizes, nor the columns
+    # that they could share, nor the distances to the centre exclude
     distance = products.groupBy(F.col("a").alias("doc_id"), F.col("b").alias("centre")).agg(F.min(1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("distance"))
     bound = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
-    placed = placed.transform(store.merged, distance, ["doc_id", "centre"], "left")
+    placed = _mixed(entries, found).transform(store.merged, distance, ["doc_id", "centre"], "left")
     own = F.col("doc_id") == F.col("centre")
-    placed = placed.select("column", "doc_id", "n", "component", F.when(own, 0.0).otherwise(F.coalesce("distance", bound)).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("far"))
+    placed = placed.select("block", "doc_id", "n", "have", "weight", "component", F.when(own, 0.0).otherwise(F.coalesce("distance", bound)).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("far"))
     placed = store.written(placed, "ngram-placed")
-    x, y = (placed.select(F.col("column"), *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "component", "near", "far")]) for s in ("x", "y"))
+    x, y = (placed.select("block", "weight", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "have", "component", "near", "far")]) for s in ("x", "y"))
     apart = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    rest = x.transform(store.merged, y, "column").where(
-        (F.col("component_x") < F.col("component_y")) & _large_enough(F.col("n_x"), F.col("n_y")) & (F.col("near_x") - F.col("far_y") <= apart) & (F.col("near_y") - F.col("far_x") <= apart)
+    needed = _needed(F.col("n_x"), F.col("n_y"))
+    rest = x.transform(store.merged, y.drop("weight"), "block").where(
+        (F.col("component_x") < F.col("component_y"))
+        & _large_enough(F.col("n_x"), F.col("n_y"))
+        & (F.least("have_x", "have_y") >= needed)
+        & (F.col("near_x") - F.col("far_y") <= apart)
+        & (F.col("near_y") - F.col("far_x") <= apart)
     )
-    rest = rest.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct().transform(store.merged, products.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.groupBy(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), "n_x", "n_y").agg(F.sum("weight").alias("columns")).where(F.col("columns") >= needed).select("a", "b").distinct()
+    rest = rest.transform(store.merged, products.select("a", "b"), ["a", "b"], "left_anti")
     last = store.written(_multiplied(store.written(rest, "ngram-rest"), docs), "ngram-products").where(_linked())
     found = components(products.where(_linked()).select("a", "b").unionByName(last.select("a", "b")))
     labels = classes.transform(store.merged, found.select(F.col("node").alias("a"), "component"), "a", "left").select("key", F.coalesce("component", "a").alias("component"))
@@ -276,10 +298,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """``entries`` with their component, of the columns in which several components meet."""
-    placed = entries.transform(store.merged, found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("column").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("column")
-    return placed.transform(store.merged, several, "column", "left_semi")
+    """``entries`` with their component, of the blocks in which several components meet."""
+    placed = entries.transform(store.merged, found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = store.written(placed.withColumn("component", F.coalesce("component", "doc_id")), "ngram-located")
+    several = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block")
+    return placed.transform(store.merged, several, "block", "left_semi")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
