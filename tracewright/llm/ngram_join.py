@@ -30,10 +30,11 @@ the order or the sketch.  Shingles are compared by 64-bit hashes of their words.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -45,6 +46,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 SKETCH_BITS = 20
 #: Rows from which a column counts as frequent, and how many counters may be.
 HOT_ROWS, HOT_COUNTERS = 2000, 4096
+#: Ratio of the sizes in one class.
+SIZE_CLASS = 1.05
 _PART = 1 << 14  # counters a row of the sketch holds while partitions are added up
 
 
@@ -275,19 +278,8 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     bound = 1 - F.least("n", "n_centre") / F.greatest("n", "n_centre")
     placed = _mixed(entries, found).transform(store.merged, distance, ["doc_id", "centre"], "left")
     own = F.col("doc_id") == F.col("centre")
-    placed = placed.select("block", "doc_id", "n", "have", "weight", "component", F.when(own, 0.0).otherwise(F.coalesce("distance", bound)).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("far"))
-    placed = store.written(placed, "ngram-placed")
-    x, y = (placed.select("block", "weight", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "have", "component", "near", "far")]) for s in ("x", "y"))
-    apart = 1 - NUMERATOR / DENOMINATOR + 1e-9
-    needed = _needed(F.col("n_x"), F.col("n_y"))
-    rest = x.transform(store.merged, y.drop("weight"), "block").where(
-        (F.col("component_x") < F.col("component_y"))
-        & _large_enough(F.col("n_x"), F.col("n_y"))
-        & (F.least("have_x", "have_y") >= needed)
-        & (F.col("near_x") - F.col("far_y") <= apart)
-        & (F.col("near_y") - F.col("far_x") <= apart)
-    )
-    rest = rest.groupBy(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), "n_x", "n_y").agg(F.sum("weight").alias("columns")).where(F.col("columns") >= needed).select("a", "b").distinct()
+    placed = placed.select("block", "doc_id", "n", "have", "weight", "rows", "component", F.when(own, 0.0).otherwise(F.coalesce("distance", bound)).alias("near"), F.when(own, 0.0).otherwise(F.coalesce("distance", F.lit(1.0))).alias("far"))
+    rest = store.written(_pairs_left(store.written(placed, "ngram-placed")), "ngram-rest")
     rest = rest.transform(store.merged, products.select("a", "b"), ["a", "b"], "left_anti")
     last = store.written(_multiplied(store.written(rest, "ngram-rest"), docs), "ngram-products").where(_linked())
     found = components(products.where(_linked()).select("a", "b").unionByName(last.select("a", "b")))
@@ -297,12 +289,49 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _pairs_left(placed: DataFrame) -> DataFrame:
+    """(a, b) of rows of different components that neither sizes, columns nor distances exclude.
+
+    Rows meet by size class: the larger one is ``apart`` classes above the smaller.  For such sizes a pair
+    must share a known number of columns, so each row keeps, of its blocks in order of their frequency, only
+    those before a tail of less than that weight: the rarest block of a pair is always kept by both.
+    """
+    tail = F.sum("weight").over(Window.partitionBy("doc_id", "n").orderBy(F.desc("rows"), F.desc("block")))
+    rows = placed.withColumns({"tail": tail, "class": F.floor(F.log("n") / math.log(SIZE_CLASS)).cast("int")})
+    classes = range(math.ceil(math.log(DENOMINATOR / NUMERATOR) / math.log(SIZE_CLASS)) + 1)
+
+    def side(name: str, sign: int) -> DataFrame:
+        other = F.col("class") + sign * F.col("apart")
+        low = F.greatest(F.floor(F.pow(F.lit(SIZE_CLASS), other)) - 1, F.lit(1))
+        high = F.ceil(F.pow(F.lit(SIZE_CLASS), other + 1)) + 1
+        needed = F.least(_needed(F.col("n"), low), _needed(F.col("n"), high))
+        out = rows.withColumn("apart", F.explode(F.array(*map(F.lit, classes)))).where(F.col("tail") >= needed)
+        smaller = F.col("class") if sign > 0 else other
+        return out.select("block", "apart", smaller.alias("smaller"), *[F.col(c).alias(f"{c}_{name}") for c in ("doc_id", "n", "have", "component", "near", "far")])
+
+    apart = 1 - NUMERATOR / DENOMINATOR + 1e-9
+    met = side("x", 1).transform(store.merged, side("y", -1), ["block", "apart", "smaller"]).where(
+        (F.col("component_x") != F.col("component_y"))
+        & ((F.col("apart") > 0) | (F.col("component_x") < F.col("component_y")))
+        & _large_enough(F.col("n_x"), F.col("n_y"))
+        & (F.least("have_x", "have_y") >= _needed(F.col("n_x"), F.col("n_y")))
+        & (F.col("near_x") - F.col("far_y") <= apart)
+        & (F.col("near_y") - F.col("far_x") <= apart)
+    )
+    pair = met.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), "n_x", "n_y").distinct()
+    # the columns that such a pair does share, all blocks counted
+    own = placed.select("block", "doc_id", "n", "weight")
+    joined = pair.transform(store.merged, own.withColumnsRenamed({"doc_id": "a", "n": "n_x"}), ["a", "n_x"]).transform(store.merged, own.drop("weight").withColumnsRenamed({"doc_id": "b", "n": "n_y"}), ["b", "n_y", "block"])
+    shared = joined.groupBy("a", "b", "n_x", "n_y").agg(F.sum("weight").alias("columns"))
+    return shared.where(F.col("columns") >= _needed(F.col("n_x"), F.col("n_y"))).select("a", "b").distinct()
+
+
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
     """``entries`` with their component, of the blocks in which several components meet."""
     placed = entries.transform(store.merged, found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     placed = store.written(placed.withColumn("component", F.coalesce("component", "doc_id")), "ngram-located")
-    several = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block")
-    return placed.transform(store.merged, several, "block", "left_semi")
+    several = placed.groupBy("block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high").select("block", "rows")
+    return placed.transform(store.merged, several, "block")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

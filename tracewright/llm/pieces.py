@@ -143,7 +143,7 @@ class Vocabulary:
         # suffix array over the longest piece's length, never past the end of a sequence
         window = np.zeros((n, self.longest), np.int32)
         reach = stop - np.arange(n)
-        for k in range(self.longest):
+        for k in range(min(self.longest, n)):
             window[: n - k, k] = np.where(reach[: n - k] > k, code[k:], 0)
         keys = self._keys(window)
         del window
