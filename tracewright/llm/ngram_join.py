@@ -320,10 +320,10 @@ def _pairs_left(placed: DataFrame) -> DataFrame:
     )
     pair = met.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), "n_x", "n_y").distinct()
     # the columns that such a pair does share, all blocks counted
-    own = placed.select("block", "doc_id", "n", "weight")
-    joined = pair.transform(store.merged, own.withColumnsRenamed({"doc_id": "a", "n": "n_x"}), ["a", "n_x"]).transform(store.merged, own.drop("weight").withColumnsRenamed({"doc_id": "b", "n": "n_y"}), ["b", "n_y", "block"])
-    shared = joined.groupBy("a", "b", "n_x", "n_y").agg(F.sum("weight").alias("columns"))
-    return shared.where(F.col("columns") >= _needed(F.col("n_x"), F.col("n_y"))).select("a", "b").distinct()
+    own = placed.groupBy("doc_id", "n").agg(F.collect_list(F.struct("block", "weight")).alias("held"))  # no more than a prefix each
+    joined = pair.transform(store.merged, own.withColumnsRenamed({"doc_id": "a", "n": "n_x", "held": "held_x"}), ["a", "n_x"]).transform(store.merged, own.withColumnsRenamed({"doc_id": "b", "n": "n_y", "held": "held_y"}), ["b", "n_y"])
+    columns = F.aggregate(F.array_intersect("held_x", "held_y"), F.lit(0).cast("long"), lambda total, b: total + b["weight"])
+    return joined.where(columns >= _needed(F.col("n_x"), F.col("n_y"))).select("a", "b").distinct()
 
 
 def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
