@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
-from ..operators import assign, images, protocol, relabel, resample, structure
+from ..operators import assign, baseline, classfile, images, protocol, relabel, resample, structure
 from ..sources.tables import Tables
 from .catalogue import _DRAWS, _SIG, _SOLVE, _TABLE, METHOD, nodes, outcome, query, rounded, table
 
@@ -58,6 +58,25 @@ def _(t):
     return image_features(t).select("vec_id", "f.dhash", "f.phash", "f.width", "f.height")
 
 
+@query("structured_fingerprint64")
+def _(t):
+    return t.events.select("event_id", baseline.structured_fingerprint(F.col("props").cast("binary")).alias("fingerprint"))
+
+
+@query("code_fingerprint64")
+def _(t):
+    return t.pages.select("page_id", baseline.code_fingerprint(F.col("html").cast("binary")).alias("fingerprint"))
+
+
+_LADDER = " ".join(f"WHEN op <= {last} THEN '{name}'" for last, name in classfile.CATEGORIES)
+
+
+@query("opcode_categories", f"SELECT category, count(*) AS n, min(op) AS first FROM (SELECT op, CASE {_LADDER} END AS category FROM (SELECT o_orderkey % 256 AS op FROM orders)) GROUP BY 1")
+def _(t):
+    ops = t.orders.select((F.col("o_orderkey") % 256).alias("op")).select("op", classfile.opcode_category(F.col("op")).alias("category"))
+    return ops.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("op").alias("first"))
+
+
 # ---- graphs of queries
 
 
