@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import assign, distance, graph, metrics, quality, resample, retrieve
-from ..params import Method
+from ..params import POOL, Method
 from ..sources.tables import Tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 METHOD = Method()
+#: As published.  The SQL states the smaller sizes, so queries of these sizes have names of their own and no SQL.
+PUBLISHED, REPLICATES = replace(METHOD, pool=POOL), 10_000
 WORDS = {"w0": 32, "w1": 32}
 DISTANCES = ["d_w0", "d_w1"]
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, full: dict | None = None):
+    """Registers ``name``; ``full`` holds the arguments of the whole job, registered beside it as ``name``_full."""
+
     def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(Tables(spark, sf_dir))
+        def named(name: str, **sizes):
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                return f(Tables(spark, sf_dir), **sizes)
 
-        run.__name__ = name
-        QUERIES[name] = run
+            run.__name__ = name
+            QUERIES[name] = run
+
+        named(name)
+        if full:
+            named(f"{name}_full", **full)
         if oracle:
             ORACLES[name] = oracle
         return f
@@ -83,15 +94,15 @@ def table(t: Tables) -> DataFrame:
     return distance.scored(minima(t), DISTANCES, METHOD)
 
 
-def pool_of(tab: DataFrame) -> DataFrame:
-    return retrieve.pool(retrieve.parent_scores(tab, METHOD.best), METHOD.pool)
+def pool_of(tab: DataFrame, method: Method = METHOD) -> DataFrame:
+    return retrieve.pool(retrieve.parent_scores(tab, method.best), method.pool)
 
 
-def outcome(t: Tables):
+def outcome(t: Tables, method: Method = METHOD):
     """(table, pool, sets, pairs of truth and prediction)."""
     tab = table(t)
-    pool = pool_of(tab)
-    sets = assign.solve(tab, pool, METHOD)
+    pool = pool_of(tab, method)
+    sets = assign.solve(tab, pool, method)
     pairs = assign.assigned(tab, sets).withColumnRenamed("parent", "predicted").join(nodes(t).select("query_id", "node_id", "truth"), ["query_id", "node_id"])
     return tab, pool, sets, pairs
 
@@ -158,9 +169,9 @@ def _(t):
     return rounded(retrieve.parent_scores(table(t), METHOD.best), "score")
 
 
-@query("candidate_pool", f"WITH {_POOL} SELECT query_id, parent, round(score, 9) AS score, rank FROM pool")
-def _(t):
-    return rounded(pool_of(table(t)), "score")
+@query("candidate_pool", f"WITH {_POOL} SELECT query_id, parent, round(score, 9) AS score, rank FROM pool", full={"method": PUBLISHED})
+def _(t, method=METHOD):
+    return rounded(pool_of(table(t), method), "score")
 
 
 def _bands(width: int, rows: str) -> str:
@@ -191,9 +202,10 @@ for _mode in retrieve.BAND_BITS:
 z AS (SELECT query_id, count(*) AS shortlist FROM short GROUP BY 1)
 SELECT p.query_id, count(*) AS pool, count(s.parent) AS held, coalesce(any_value(z.shortlist), 0) AS shortlist, count(*) = count(s.parent) AS identical
 FROM pool p LEFT JOIN short s ON s.query_id = p.query_id AND s.parent = p.parent LEFT JOIN z ON z.query_id = p.query_id GROUP BY p.query_id""",
+    full={"method": PUBLISHED},
 )
-def _(t):
-    return retrieve.fidelity(pool_of(table(t)), retrieve.shortlist(nodes(t), gallery(t), ["w0", "w1"], "HIGH_RECALL"))
+def _(t, method=METHOD):
+    return retrieve.fidelity(pool_of(table(t), method), retrieve.shortlist(nodes(t), gallery(t), ["w0", "w1"], "HIGH_RECALL"))
 
 
 @query(
@@ -212,20 +224,20 @@ def _(t):
     return assign.independent(table(t))
 
 
-@query("parent_set_solver", f"WITH {_SOLVE} SELECT query_id, objective, k, p1, p2, p3 FROM best")
-def _(t):
-    return outcome(t)[2]
+@query("parent_set_solver", f"WITH {_SOLVE} SELECT query_id, objective, k, p1, p2, p3 FROM best", full={"method": PUBLISHED})
+def _(t, method=METHOD):
+    return outcome(t, method)[2]
 
 
-@query("parent_set_assignment", f"WITH {_ASSIGNED} SELECT query_id, node_id, truth, predicted FROM found")
-def _(t):
-    return outcome(t)[3]
+@query("parent_set_assignment", f"WITH {_ASSIGNED} SELECT query_id, node_id, truth, predicted FROM found", full={"method": PUBLISHED})
+def _(t, method=METHOD):
+    return outcome(t, method)[3]
 
 
-@query("oracle_k_solver", f"WITH {_SOLVE} SELECT query_id, objective, k, p1, p2, p3 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY objective, r1, r2, r3) AS own FROM total) WHERE own = 1")
-def _(t):
+@query("oracle_k_solver", f"WITH {_SOLVE} SELECT query_id, objective, k, p1, p2, p3 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, k ORDER BY objective, r1, r2, r3) AS own FROM total) WHERE own = 1", full={"method": PUBLISHED})
+def _(t, method=METHOD):
     tab = table(t)
-    return assign.solve(tab, pool_of(tab), METHOD, by_size=True)
+    return assign.solve(tab, pool_of(tab, method), method, by_size=True)
 
 
 @query(
@@ -233,10 +245,11 @@ def _(t):
     f"""WITH {_SOLVE}, bestk AS (SELECT query_id, k, min(objective) - 0.5 * k AS paid FROM total GROUP BY query_id, k),
 g AS (SELECT query_id, i / 20.0 AS penalty, k, round(paid + i / 20.0 * k, 9) AS objective FROM bestk CROSS JOIN range(46) r(i))
 SELECT penalty, avg(k) AS mean_k, round(avg(objective), 9) AS mean_objective FROM (SELECT *, row_number() OVER (PARTITION BY query_id, penalty ORDER BY objective, k) AS place FROM g) WHERE place = 1 GROUP BY penalty""",
+    full={"method": PUBLISHED},
 )
-def _(t):
+def _(t, method=METHOD):
     tab = table(t)
-    best = assign.solve(tab, pool_of(tab), METHOD, by_size=True).select("query_id", "k", (F.col("objective") - METHOD.penalty * F.col("k")).alias("paid"))
+    best = assign.solve(tab, pool_of(tab, method), method, by_size=True).select("query_id", "k", (F.col("objective") - method.penalty * F.col("k")).alias("paid"))
     grid = best.crossJoin(F.broadcast(t.spark.range(46).select((F.col("id") / 20.0).alias("penalty"))))
     key = F.struct(F.round(F.col("paid") + F.col("penalty") * F.col("k"), 9).alias("objective"), "k")
     chosen = grid.groupBy("query_id", "penalty").agg(F.min(key).alias("best"))
@@ -279,9 +292,10 @@ _CONF = """SELECT count(*) FILTER (truth IS NULL AND predicted IS NULL) AS tp, c
   CASE WHEN tn + fn = 0 THEN 0 ELSE tn / (tn + fn) END AS kp, CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END AS kr FROM c),
 f AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS unknown_f1, CASE WHEN kp + kr = 0 THEN 0 ELSE 2 * kp * kr / (kp + kr) END AS known_f1 FROM p)
 SELECT tp, fp, fn, tn, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(unknown_f1, 9) AS unknown_f1, round(known_f1, 9) AS known_f1, round((unknown_f1 + known_f1) / 2, 9) AS macro_f1 FROM f""",
+    full={"method": PUBLISHED},
 )
-def _(t):
-    return rounded(metrics.unknown_confusion(outcome(t)[3]), "accuracy", "precision", "recall", "unknown_f1", "known_f1", "macro_f1")
+def _(t, method=METHOD):
+    return rounded(metrics.unknown_confusion(outcome(t, method)[3]), "accuracy", "precision", "recall", "unknown_f1", "known_f1", "macro_f1")
 
 
 _SETS = """s AS (SELECT query_id, list_distinct(list(truth)) AS ts, list_distinct(list(predicted)) AS ps, max((truth IS NULL)::INT) AS tu, max((predicted IS NULL)::INT) AS pu FROM found GROUP BY 1),
@@ -290,14 +304,14 @@ sm AS (SELECT query_id, CASE WHEN np = 0 THEN 0 ELSE b / CAST(np AS DOUBLE) END
   CASE WHEN b = 0 THEN 0 ELSE 2 * (b / CAST(np AS DOUBLE)) * (b / CAST(nt AS DOUBLE)) / (b / CAST(np AS DOUBLE) + b / CAST(nt AS DOUBLE)) END AS f1, b = nt AND b = np AS exact, nt + tu AS k_true, np + pu AS k_found FROM m)"""
 
 
-@query("set_metrics", f"WITH {_ASSIGNED}, {_SETS} SELECT query_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, exact, k_true, k_found FROM sm")
-def _(t):
-    return rounded(metrics.set_metrics(outcome(t)[3]), "precision", "recall", "f1")
+@query("set_metrics", f"WITH {_ASSIGNED}, {_SETS} SELECT query_id, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, exact, k_true, k_found FROM sm", full={"method": PUBLISHED})
+def _(t, method=METHOD):
+    return rounded(metrics.set_metrics(outcome(t, method)[3]), "precision", "recall", "f1")
 
 
-@query("k_metrics", f"WITH {_ASSIGNED}, {_SETS} SELECT round(avg((k_true = k_found)::DOUBLE), 9) AS k_accuracy, round(avg(abs(k_true - k_found)), 9) AS k_mae, round(avg(f1), 9) AS mean_f1, round(avg(exact::DOUBLE), 9) AS exact_rate FROM sm")
-def _(t):
-    m = metrics.set_metrics(outcome(t)[3])
+@query("k_metrics", f"WITH {_ASSIGNED}, {_SETS} SELECT round(avg((k_true = k_found)::DOUBLE), 9) AS k_accuracy, round(avg(abs(k_true - k_found)), 9) AS k_mae, round(avg(f1), 9) AS mean_f1, round(avg(exact::DOUBLE), 9) AS exact_rate FROM sm", full={"method": PUBLISHED})
+def _(t, method=METHOD):
+    m = metrics.set_metrics(outcome(t, method)[3])
     return rounded(m.agg(F.avg((F.col("k_true") == F.col("k_found")).cast("double")).alias("k_accuracy"), F.avg(F.abs(F.col("k_true") - F.col("k_found")).cast("double")).alias("k_mae"), F.avg("f1").alias("mean_f1"), F.avg(F.col("exact").cast("double")).alias("exact_rate")), "k_accuracy", "k_mae", "mean_f1", "exact_rate")
 
 
@@ -315,9 +329,10 @@ def _(t):
     "failure_localisation",
     f"""WITH {_ASSIGNED} SELECT f.query_id, f.node_id, CASE WHEN truth IS NULL THEN 'UNKNOWN' WHEN p.parent IS NULL THEN 'RETRIEVAL' WHEN truth IN (p1, p2, p3) THEN 'ASSIGNMENT' ELSE 'SELECTION' END AS stage
 FROM found f LEFT JOIN pool p ON p.query_id = f.query_id AND p.parent = f.truth LEFT JOIN best b ON b.query_id = f.query_id WHERE truth IS DISTINCT FROM predicted""",
+    full={"method": PUBLISHED},
 )
-def _(t):
-    _, pool, sets, pairs = outcome(t)
+def _(t, method=METHOD):
+    _, pool, sets, pairs = outcome(t, method)
     return metrics.localised(pairs, pool, sets)
 
 
@@ -327,11 +342,12 @@ def _(t):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), parent) AS rank FROM score), tr AS (SELECT DISTINCT query_id, truth FROM nodes WHERE truth IS NOT NULL),
 h AS (SELECT m, tr.query_id, count(*) AS n, count(*) FILTER (rank <= m) AS held FROM tr JOIN r ON r.query_id = tr.query_id AND r.parent = tr.truth CROSS JOIN (VALUES (3), (4), (5), (6), (8)) v(m) GROUP BY ALL)
 SELECT m, round(avg(held / n), 9) AS recall, round(avg((held = n)::DOUBLE), 9) AS all_present FROM h GROUP BY m""",
+    full={"sizes": (3, 4, 5, 6, 8, 10)},
 )
-def _(t):
+def _(t, sizes=(3, 4, 5, 6, 8)):
     ranked = retrieve.pool(retrieve.parent_scores(table(t), METHOD.best), 1000)
     true = nodes(t).where("truth is not null").select("query_id", F.col("truth").alias("parent")).distinct().join(ranked, ["query_id", "parent"])
-    sizes = true.withColumn("m", F.explode(F.array(*[F.lit(m) for m in (3, 4, 5, 6, 8)])))
+    sizes = true.withColumn("m", F.explode(F.array(*[F.lit(m) for m in sizes])))
     held = sizes.groupBy("m", "query_id").agg(F.avg((F.col("rank") <= F.col("m")).cast("double")).alias("share"))
     return held.groupBy("m").agg(F.round(F.avg("share"), 9).alias("recall"), F.round(F.avg((F.col("share") == 1).cast("double")), 9).alias("all_present"))
 
@@ -523,14 +539,14 @@ bs AS (SELECT replicate, avg(value) AS mean FROM dr JOIN p USING (g, slot) GROUP
 _CI = "SELECT round(avg(mean), 9) AS mean, round(stddev_samp(mean), 9) AS std, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM bs"
 
 
-@query("bootstrap_ci", f"WITH {_STATS}, {_DRAWS.format(s='stratum')} {_CI}")
-def _(t):
-    return rounded(resample.interval(resample.bootstrap(stats(t), "stratum", "value", 200)), "mean", "std", "low", "high")
+@query("bootstrap_ci", f"WITH {_STATS}, {_DRAWS.format(s='stratum')} {_CI}", full={"replicates": REPLICATES})
+def _(t, replicates=200):
+    return rounded(resample.interval(resample.bootstrap(stats(t), "stratum", "value", replicates)), "mean", "std", "low", "high")
 
 
-@query("cluster_bootstrap_ci", f"WITH {_STATS}, {_DRAWS.format(s='source')} {_CI}")
-def _(t):
-    return rounded(resample.interval(resample.bootstrap(stats(t), "source", "value", 200)), "mean", "std", "low", "high")
+@query("cluster_bootstrap_ci", f"WITH {_STATS}, {_DRAWS.format(s='source')} {_CI}", full={"replicates": REPLICATES})
+def _(t, replicates=200):
+    return rounded(resample.interval(resample.bootstrap(stats(t), "source", "value", replicates)), "mean", "std", "low", "high")
 
 
 @query("leave_one_source_out", f"WITH {_STATS}, w AS (SELECT sum(value) AS s, count(*) AS n FROM st), p AS (SELECT source, sum(value) AS sp, count(*) AS np FROM st GROUP BY 1) SELECT source, round((s - sp) / (n - np), 9) AS mean, round(s / n, 9) AS whole FROM p CROSS JOIN w")

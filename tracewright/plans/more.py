@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_order
 from ..operators import assign, baseline, classfile, images, protocol, relabel, resample, structure
 from ..sources.tables import Tables
-from .catalogue import _DRAWS, _SIG, _SOLVE, _TABLE, METHOD, nodes, outcome, query, rounded, table
+from .catalogue import _DRAWS, _SIG, _SOLVE, _TABLE, METHOD, PUBLISHED, REPLICATES, nodes, outcome, query, rounded, table
 
 
 def _bucket(x: str) -> str:
@@ -128,9 +128,10 @@ def _(t):
     f"""WITH {_SOLVE}, a AS (SELECT query_id, node_id, arg_min(parent, (round(cost, 9), parent)) FILTER (eligible) AS one FROM tab GROUP BY ALL),
 b AS (SELECT b.query_id, n.node_id, (SELECT arg_min(t.parent, (round(t.cost, 9), t.parent)) FROM tab t WHERE t.query_id = b.query_id AND t.node_id = n.node_id AND t.eligible AND t.cost <= 1 AND (t.parent = p1 OR t.parent = p2 OR t.parent = p3)) AS other FROM best b JOIN nodes n ON n.query_id = b.query_id)
 SELECT query_id, node_id, one, other, one IS NOT DISTINCT FROM other AS same FROM a FULL JOIN b USING (query_id, node_id)""",
+    full={"method": PUBLISHED},
 )
-def _(t):
-    tab, _, _, pairs = outcome(t)
+def _(t, method=METHOD):
+    tab, _, _, pairs = outcome(t, method)
     return protocol.compared(assign.independent(tab).withColumnRenamed("parent", "one"), pairs.select("query_id", "node_id", F.col("predicted").alias("other")), ["query_id", "node_id"])
 
 
@@ -202,10 +203,11 @@ _PAIR = "st AS (SELECT l.doc_id AS query_id, d.lang AS stratum, CAST(l.quality A
 SELECT round(avg(mean), 9) AS delta, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high, avg((mean > 0)::DOUBLE) AS p_above, avg((mean >= 0)::DOUBLE) AS p_not_below,
   quantile_cont(mean, 0.025) > 0 OR quantile_cont(mean, 0.975) < 0 AS excludes_zero,
   CASE WHEN quantile_cont(mean, 0.025) > 0 THEN 'BETTER' WHEN quantile_cont(mean, 0.975) < 0 THEN 'WORSE' ELSE 'UNDECIDED' END AS direction FROM bs""",
+    full={"replicates": REPLICATES},
 )
-def _(t):
+def _(t, replicates=200):
     d = t.labels.join(t.documents.select("doc_id", F.col("lang").alias("stratum")), "doc_id").select(F.col("doc_id").alias("query_id"), "stratum", (F.col("quality").cast("double") - F.col("toxic")).alias("value"))
-    means = resample.bootstrap(d, "stratum", "value", 200).select(F.col("mean").alias("a"), F.lit(0.0).alias("b"))
+    means = resample.bootstrap(d, "stratum", "value", replicates).select(F.col("mean").alias("a"), F.lit(0.0).alias("b"))
     return rounded(resample.paired(means), "delta", "low", "high")
 
 
