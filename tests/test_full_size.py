@@ -8,6 +8,7 @@ from statistics import mean
 import pytest
 
 import __spark_entry__ as entry
+from tracewright.operators import graph
 from tracewright.plans import catalogue
 from tracewright.sources.tables import Tables
 
@@ -53,3 +54,9 @@ def test_full_bootstrap_draws_ten_thousand(spark):
     at = lambda p: means[int(p * 9999)] + (p * 9999 % 1) * (means[int(p * 9999) + 1] - means[int(p * 9999)])
     (got,) = full(spark, "bootstrap_ci_full")
     assert (got["mean"], got["low"], got["high"]) == tuple(pytest.approx(x, abs=2e-9) for x in (mean(means), at(0.025), at(0.975)))
+
+
+def test_components_of_a_long_chain(spark):
+    n = 60
+    chain = spark.createDataFrame([(i, i + 1) for i in range(2, n)] + [(n, 1)], "a long, b long")  # the least node is at the far end
+    assert {(r["node"], r["component"]) for r in graph.connected_components(chain).collect()} == {(i, 1) for i in range(1, n + 1)}

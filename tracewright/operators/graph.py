@@ -10,9 +10,9 @@ def canonical(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 40) -> DataFrame:
-    """(node, component): the least node reachable.  Labels spread to neighbours and jump to their label's
-    label; each round's table is checkpointed, so lineage stays short and a lost executor costs one round."""
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): the least node reachable.  Labels spread to neighbours, jump to their label's
+    label and hook the label's own node to what its members hear, until none changes; each round's table is checkpointed, so lineage stays short and a lost executor costs one round."""
     spark = edges.sparkSession
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if own is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -20,15 +20,15 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
     both = canonical(edges)
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(rounds):
+    changed = True
+    while changed:
         heard = both.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "component")
         above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
         jumped = labels.join(above, "component").select("node", F.col("above").alias("component"))
-        new = heard.unionByName(jumped).unionByName(labels).groupBy("node").agg(F.min("component").alias("component")).checkpoint()
+        hooks = heard.join(labels.withColumnRenamed("component", "own"), "node").where("component < own").select(F.col("own").alias("node"), "component")
+        new = heard.unionByName(jumped).unionByName(hooks).unionByName(labels).groupBy("node").agg(F.min("component").alias("component")).checkpoint()
         changed = new.join(labels.withColumnRenamed("component", "was"), "node").where("component < was").limit(1).count()
         labels = new
-        if not changed:
-            break
     if nodes is None:
         return labels
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
