@@ -60,3 +60,24 @@ def test_components_of_a_long_chain(spark):
     n = 60
     chain = spark.createDataFrame([(i, i + 1) for i in range(2, n)] + [(n, 1)], "a long, b long")  # the least node is at the far end
     assert {(r["node"], r["component"]) for r in graph.connected_components(chain).collect()} == {(i, 1) for i in range(1, n + 1)}
+
+
+def test_graphs_of_all_of_lineitem(spark):
+    pairs = {tuple(r) for r in spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    degree, root = defaultdict(int), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        b += 1000000000
+        degree[a] += 1
+        degree[b] += 1
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert {r["node"]: r["component"] for r in full(spark, "connected_components")} == {x: find(x) for x in root}
+    assert {r["node"]: r["degree"] for r in full(spark, "graph_degrees_full")} == dict(degree)
+    thin = {(r["a"], r["b"]) for r in full(spark, "edge_corruption_full")}
+    assert thin <= pairs and len(thin) == sum(d - int(0.3 * d) for x, d in degree.items() if x < 1000000000)

@@ -567,8 +567,8 @@ def _(t):
 _EDGES = "e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem WHERE l_quantity = 1)"
 
 
-def edges(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_quantity = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
+def edges(t: Tables, lines: str = "true") -> DataFrame:
+    return t.lineitem.where(lines).select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
 
 
 @query("connected_components")
@@ -581,6 +581,6 @@ def _(t):
     return graph.component_stats(graph.connected_components(edges(t)))
 
 
-@query("graph_degrees", f"WITH {_EDGES}, n AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e) SELECT node, count(*) AS degree FROM n GROUP BY 1")
-def _(t):
-    return graph.degrees(edges(t))
+@query("graph_degrees", f"WITH {_EDGES}, n AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e) SELECT node, count(*) AS degree FROM n GROUP BY 1", full={"lines": "true"})
+def _(t, lines="l_quantity = 1"):
+    return graph.degrees(edges(t, lines))

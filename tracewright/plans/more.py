@@ -105,9 +105,10 @@ def _(t):
     "edge_corruption",
     """WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sha256('0|drop|' || a || '-' || b), b) AS place, count(*) OVER (PARTITION BY a) AS n FROM e) SELECT a, b FROM r WHERE place > floor(0.3 * n)""",
+    full={"lines": "true"},
 )
-def _(t):
-    e = t.lineitem.where("l_quantity = 1").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+def _(t, lines="l_quantity = 1"):
+    e = t.lineitem.where(lines).select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
     return protocol.thinned(e, "a", F.concat_ws("-", "a", "b"), 0.3)
 
 
