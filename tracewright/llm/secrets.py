@@ -27,9 +27,13 @@ from .text import slices
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a shorter run fails as a whole, whatever begins inside it
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*(?![A-Za-z0-9_-])")
+UPPER_HEX = re.compile(r"[0-9A-F]{48,}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
+#: Any three dotted runs, also those that begin inside of others; the header's JSON decides.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{11,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+))")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9]+(?: [A-Z0-9]+)*)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=])(?:MI[A-Za-z0-9+/]{38,}|AAAA[A-Za-z0-9+/]{36,})={0,2}(?![A-Za-z0-9+/=])")
+#: Whole runs of either alphabet, of 24 bytes at least; a key begins with byte 0x30 (M and A to P) or with three bytes 0.
+BASE64 = [re.compile(rf"(?<![{own}])(?:M[A-P]|AAAA)[{own}]{{28,}}+={{0,2}}") for own in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 #: Kinds in the order in which spans that begin together are listed.
 KINDS = ("assign", "access", "hex", "token", "key", "der", "ssh")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -86,6 +90,10 @@ def from_base64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def _key_kind(data: bytes | None) -> int | None:
+    return None if not data else 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     raw, claims = from_base64(head, True), from_base64(body, True)
@@ -108,23 +116,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of candidates whose structure was parsed."""
-    spans = []
-    if "eyJ" in text:
-        spans += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[0])]
+    spans, last = [], 0
+    for m in TOKEN.finditer(text):
+        if m.start() >= last and is_signed_token(m[1]):
+            last = m.end(1)
+            spans.append((m.start(), 3, last))
     if "-----BEGIN" in text:
         for m in ARMOUR.finditer(text):
             data = from_base64("".join(m[2].split()))
             if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0")):
                 spans.append((m.start(), 4, m.end()))
-    for m in BASE64.finditer(text):
-        data = from_base64(m[0])
-        if data and is_der_key(data):
-            spans.append((m.start(), 5, m.end()))
-        elif data and is_ssh_key(data):
-            spans.append((m.start(), 6, m.end()))
-    for m in HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and m[0].startswith("30") and is_der_key(bytes.fromhex(m[0])):
-            spans.append((m.start(), 5, m.end()))
+    found = set()
+    for url, pattern in enumerate(BASE64):
+        for m in pattern.finditer(text):
+            found.add((m.start(), _key_kind(from_base64(m[0], bool(url))), m.end()))
+    for run in ANY_HEX.finditer(text):
+        # the run of mixed case, and the runs of one case in it
+        for m in (run, *HEX.finditer(text, *run.span()), *UPPER_HEX.finditer(text, *run.span())):
+            if len(m[0]) % 2 == 0 and m[0].startswith(("30", "000000")):
+                found.add((m.start(), _key_kind(bytes.fromhex(m[0])), m.end()))
+    spans += [x for x in found if x[1] is not None]
     return spans
 
 
