@@ -155,11 +155,13 @@ def _rows(sketch):
 
 
 def _met(batches):
-    """Rows sorted by column: those of columns that more than one row has, with the column's centre and, as
+    """Rows sorted by column and doc_id, repeated ones counting once: those of columns that more than one row has, with the column's centre and, as
     its block, a hash of the set of its rows."""
     held: list[np.ndarray] = []
 
     def told(column, doc, info):
+        new = np.concatenate(([True], (column[1:] != column[:-1]) | (doc[1:] != doc[:-1])))
+        column, doc, info = column[new], doc[new], info[new]
         cut = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
         size = np.diff(np.append(cut, len(column)))
         top = np.maximum.reduceat(info, cut) if len(cut) else info
@@ -234,7 +236,7 @@ def _columns(entries: DataFrame, hot: Column) -> DataFrame:
     out (and are blocks of their own), the others are sorted."""
     few = entries.where(~hot)
     schema = "block long, doc_id long, n long, centre long, n_centre long"
-    met = few.repartition("column").sortWithinPartitions("column").mapInArrow(_met, schema)
+    met = few.repartition("column").sortWithinPartitions("column", "doc_id").mapInArrow(_met, schema)
     many = entries.where(hot).dropDuplicates(["column", "doc_id"])
     of = many.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.max(F.struct("info", "doc_id")).alias("top")).where("rows > 1")
     size = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
