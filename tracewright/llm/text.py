@@ -96,6 +96,7 @@ def slices(batches, column: str = "text", step: int = STEP_BYTES) -> Iterator[tu
 
 def release() -> None:
     """Hand free memory back to the system: a worker lives on after its task."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
