@@ -32,6 +32,21 @@ def similarity_components(rows):
     return sorted(((i, len(s), find(i) if s else i) for i, s in sets), key=str)
 
 
+def plain_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2):
+    """Targets of sources, resharing the excess round by round."""
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes))}
+    out, left = {}, share * sum(sizes.values())
+    while len(out) < len(sizes):
+        open_ = [s for s in sizes if s not in out]
+        total = sum(weight[s] for s in open_)
+        above = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not above:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: float(most * sizes[s]) for s in above}
+        left -= sum(out[s] for s in above)
+    return out
+
+
 #: (doc_id, text, lang, source), with nulls, empty and long texts, ties, repeats; more columns clash by name.
 HARD = [
     (1, None, "en", "a"),

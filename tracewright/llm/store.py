@@ -12,8 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a broadcast membership filter: a bound on what is broadcast, whatever the size of the input.
-FILTER_BITS = 1 << 23
+#: Bits of a broadcast membership filter, as many as its keys need between these bounds: 16 MB at most,
+#: whatever the size of the input.  A fuller filter lets more rows through, never fewer.
+LEAST_BITS, FILTER_BITS = 1 << 20, 1 << 27
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -21,6 +22,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounded Arrow batches (texts may be long), and this package importable by Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), _ROOT) if x)
@@ -30,13 +32,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset and
+    driver and executors are one machine."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "tracewright-shared")
     return path.rstrip("/")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -69,20 +85,23 @@ def filter_bit(*keys: Column | str) -> Column:
 
 
 def filter_of(bits: DataFrame, column: str = "bit") -> np.ndarray:
-    """A bitmap of FILTER_BITS bits of the given positions: at most FILTER_BITS / 64 rows reach the driver."""
+    """A bitmap of the given positions (written rows: they are read twice); at most FILTER_BITS / 64 rows,
+    eight keys' worth of bits each, reach the driver."""
+    size = min(FILTER_BITS, max(LEAST_BITS, 1 << (8 * bits.count()).bit_length()))
+    place = F.col(column).bitwiseAND(F.lit(size - 1))
     words = (
-        bits.select((F.col(column) / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b"))
+        bits.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toPandas()
     )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(size // 64, np.int64)
     out[words["w"].to_numpy(int)] = words["b"].to_numpy(np.int64)
     return out.view(np.uint64)
 
 
 def hits(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    bit = bit.astype(np.int64)
+    bit = bit.astype(np.int64) & (64 * len(bitmap) - 1)
     return (bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
