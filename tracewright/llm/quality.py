@@ -5,12 +5,14 @@ each, in chunks of fixed size (so that a long text cannot become its own diction
 normalised difference of the two sizes is calibrated into a probability by logistic regression on
 labelled texts that built no dictionary.
 
-Learning reads a bounded sample of labelled rows: at most ``DOCS_A_CLASS`` for each label, by hash of
-id, of each ``CHARS`` characters; half build dictionaries, half calibrate.  Scoring reads the text alone.
+Learning reads a bounded sample of labelled rows: about ``DOCS_A_CLASS`` for each label, by hash of id,
+their whole texts.  Half of them build dictionaries: their chunks, or of many a share by chance, about
+``BYTES_A_CLASS`` for each label, reach the driver.  The other half calibrate: executors compress each
+whole text, and one number a text reaches the driver.  Scoring reads the text alone.
 
 * null and empty text: no difference, the calibrated score of that; a label other than 0 or 1, or null:
-  not learnt from; labels that repeat a doc_id: each counts; without rows of both labels every score is
-  the smoothed share of label 1;
+  not learnt from; a doc_id with both labels teaches both, one label given twice counts once; without
+  rows of both labels every score is the smoothed share of label 1;
 * repeated rows: scored alike; empty table: no rows; other columns are not read, whatever their names.
 """
 
@@ -19,14 +21,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 from .langid import fold
 from .text import slices
 
-DOCS_A_CLASS, CHARS, CHUNK, DICTIONARY, LEVEL = 1500, 4096, 2048, 1 << 16, 3
+DOCS_A_CLASS, BYTES_A_CLASS, CHUNK, DICTIONARY, LEVEL = 1500, 4 << 20, 2048, 1 << 16, 3
 
 
 def _chunks(text: bytes) -> list[bytes]:
@@ -52,8 +54,7 @@ class Compressors:
         return (bad - good) / (bad + good) if bad + good else 0.0
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    samples = [c for t in texts for c in _chunks(t)]
+def _dictionary(samples: list[bytes]) -> bytes:
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their text itself
@@ -74,28 +75,67 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]) / scale, float(w[1])
 
 
-def train(good: list[bytes], bad: list[bytes]) -> tuple[tuple[bytes, bytes], float, float]:
-    """(dictionaries, slope, offset)."""
-    prior = float(np.log((len(good) + 1) / (len(bad) + 1)))
-    if len(good) < 2 or len(bad) < 2:
-        return (b" " * 16, b" " * 16), 0.0, prior
-    dictionaries = (_dictionary(bad[::2]), _dictionary(good[::2]))
-    compressors = Compressors(dictionaries)
-    rest = bad[1::2], good[1::2]
-    x = np.array([compressors.difference(t) for own in rest for t in own])
-    y = np.repeat([0.0, 1.0], [len(own) for own in rest])
-    return dictionaries, *calibrate(x, y)
+def _below(key: Column, share: Column) -> Column:
+    """Whether a hash is within the first ``share`` of all."""
+    return key / F.lit(float(2**64)) + 0.5 < share
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame) -> dict[int, list[bytes]]:
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
-    rank = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.withColumn("rank", rank).where(F.col("rank") <= DOCS_A_CLASS).drop("rank")  # at most 2 * DOCS_A_CLASS
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("quality", "doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(CHARS)).alias("text"))
-    out: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(texts.collect(), key=lambda r: (r["quality"], r["doc_id"], r["text"])):
-        out[r["quality"]].append(r["text"].encode("utf-8", "replace"))
-    return {k: v[: 2 * DOCS_A_CLASS] for k, v in out.items()}
+def _by_label(values: dict[int, float]) -> Column:
+    return F.when(F.col("quality") == 1, values.get(1, 0.0)).otherwise(values.get(0, 0.0))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(quality, key, text) of about DOCS_A_CLASS rows for each label; ``key`` is a hash of id and text."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").distinct()
+    rows = store.written(rows, "quality-labels")
+    many = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    chosen = rows.where(_below(F.xxhash64("doc_id"), _by_label({k: DOCS_A_CLASS / n for k, n in many.items()})))
+    # by the shares above, chosen has about 2 * DOCS_A_CLASS rows
+    found = docs.join(F.broadcast(chosen), "doc_id").select("quality", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = store.written(found.dropDuplicates(["quality", "key"]), "quality-sample")
+    many = {r["quality"]: r["count"] for r in found.groupBy("quality").count().collect()}  # an id may stand for many texts
+    return found.where(_below(F.xxhash64("key"), _by_label({k: 2 * DOCS_A_CLASS / n for k, n in many.items()})))
+
+
+def _sampled_chunks(rates: dict[int, float]):
+    def run(batches):
+        for batch, texts in slices(batches):
+            labels, out = [], []
+            for label, key, text in zip(batch.column("quality").to_pylist(), batch.column("key").to_pylist(), texts):
+                chunks = _chunks(text)
+                take = np.flatnonzero(np.random.default_rng(key & 0x7FFFFFFFFFFFFFFF).random(len(chunks)) < rates[label])
+                labels += [label] * len(take)
+                out += [chunks[k] for k in take]
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["quality", "chunk"])
+
+    return run
+
+
+def _differences(dictionaries):
+    def run(batches):
+        compressors = Compressors(dictionaries.value)
+        for batch, texts in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array([compressors.difference(t) for t in texts], pa.float64())], names=["quality", "x"])
+
+    return run
+
+
+def train(sample: DataFrame) -> tuple[tuple[bytes, bytes], float, float]:
+    """(dictionaries, slope, offset) from rows (quality, key, text)."""
+    builds = F.pmod("key", F.lit(2)) == 0
+    rows = sample.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(builds.cast("long")).alias("building"), F.sum(F.when(builds, F.octet_length("text"))).alias("bytes"))
+    of = {r["quality"]: r for r in rows.collect()}
+    many = [of[k]["n"] if k in of else 0 for k in (0, 1)]
+    if any(k not in of or not 0 < of[k]["building"] < of[k]["n"] for k in (0, 1)):
+        return (b" " * 16, b" " * 16), 0.0, float(np.log((many[1] + 1) / (many[0] + 1)))
+    rates = {k: min(1.0, BYTES_A_CLASS / max(1, of[k]["bytes"])) for k in of}
+    chunks: dict[int, list[bytes]] = {0: [], 1: []}
+    for label, chunk in sorted((r["quality"], bytes(r["chunk"])) for r in sample.where(builds).mapInArrow(_sampled_chunks(rates), "quality int, chunk binary").collect()):
+        chunks[label].append(chunk)
+    dictionaries = (_dictionary(chunks[0]), _dictionary(chunks[1]))
+    shared = sample.sparkSession.sparkContext.broadcast(dictionaries)
+    pairs = sorted((r["quality"], r["x"]) for r in sample.where(~builds).mapInArrow(_differences(shared), "quality int, x double").collect())
+    return dictionaries, *calibrate(np.array([x for _, x in pairs]), np.array([float(y) for y, _ in pairs]))
 
 
 def _scored(model):
@@ -117,6 +157,5 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: Column | None = None)
     held = fold(F.col("doc_id"), 3) == 1 if held_out is None else held_out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     teaching = labels.select("doc_id", "quality").where(~held)
-    sample = labelled_sample(docs, teaching)
-    model = docs.sparkSession.sparkContext.broadcast(train(sample[1], sample[0]))
+    model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, teaching)))
     return docs.withColumn("held_out", held).mapInArrow(_scored(model), "doc_id long, held_out boolean, score double, predicted int")
