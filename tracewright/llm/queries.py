@@ -77,28 +77,29 @@ q AS (SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-  split_part(path, '/', 2) AS a1, split_part(path, '/', 3) AS a2 FROM p),
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p),
 v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said,
-  CASE WHEN regexp_matches(a1, '[0-9]') THEN '*' ELSE a1 END AS s1, CASE WHEN regexp_matches(a2, '[0-9]') THEN '*' ELSE a2 END AS s2 FROM q),
-n0 AS (SELECT host, s1, s2, count(*) AS cnt, count(said) AS n, count(*) FILTER (said = 'block') AS b FROM v GROUP BY ALL),
-c1 AS (SELECT host, s1, sum(cnt) AS cc FROM n0 GROUP BY ALL), m1 AS (SELECT host, count(*) AS ch FROM c1 GROUP BY ALL),
-n1 AS (SELECT n0.*, CASE WHEN cc < 3 AND ch > 20 THEN '*' ELSE s1 END AS t1 FROM n0 JOIN c1 USING (host, s1) JOIN m1 USING (host)),
-c2 AS (SELECT host, t1, s2, sum(cnt) AS cc FROM n1 GROUP BY ALL), m2 AS (SELECT host, t1, count(*) AS ch FROM c2 GROUP BY ALL),
-n2 AS (SELECT n1.*, CASE WHEN cc < 3 AND ch > 20 THEN '*' ELSE s2 END AS t2 FROM n1 JOIN c2 USING (host, t1, s2) JOIN m2 USING (host, t1)),
-o1 AS (SELECT host, t1, sum(n) AS n, sum(b) AS b FROM n2 GROUP BY ALL HAVING sum(n) > 0),
-p1 AS (SELECT host, sum(n) AS pn, sum(b) AS pb FROM o1 GROUP BY ALL),
-e1 AS (SELECT *, abs(b / n - pb / pn) * sqrt(CAST(n AS DOUBLE)) <= 1.96 * sqrt((pb / pn) * (1 - pb / pn)) AS alike FROM o1 JOIN p1 USING (host)),
-f1 AS (SELECT host, t1, CASE WHEN alike THEN sum(n) FILTER (alike) OVER w ELSE n END AS bn, CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS bb FROM e1 WINDOW w AS (PARTITION BY host)),
-o2 AS (SELECT host, t1, t2, sum(n) AS n, sum(b) AS b FROM n2 GROUP BY ALL HAVING sum(n) > 0),
-p2 AS (SELECT host, t1, sum(n) AS pn, sum(b) AS pb FROM o2 GROUP BY ALL),
-e2 AS (SELECT *, abs(b / n - pb / pn) * sqrt(CAST(n AS DOUBLE)) <= 1.96 * sqrt((pb / pn) * (1 - pb / pn)) AS alike FROM o2 JOIN p2 USING (host, t1)),
-f2 AS (SELECT host, t1, t2, CASE WHEN alike THEN sum(n) FILTER (alike) OVER w ELSE n END AS bn, CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS bb FROM e2 WINDOW w AS (PARTITION BY host, t1)),
-t AS (SELECT n2.host, s1, s2, n2.host || '/' || n2.t1 || '/' || n2.t2 AS template,
-  (coalesce(f2.bb, f1.bb, 0) + 0.8) / (coalesce(f2.bn, f1.bn, 0) + 4.0) AS purity
-  FROM n2 LEFT JOIN f1 ON f1.host = n2.host AND f1.t1 = n2.t1 LEFT JOIN f2 ON f2.host = n2.host AND f2.t1 = n2.t1 AND f2.t2 = n2.t2)
-SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template
-FROM v LEFT JOIN t ON t.host = v.host AND t.s1 = v.s1 AND t.s2 = v.s2""",
+  regexp_replace(path, '[^/]*[0-9][^/]*', '*', 'g') AS shape FROM q),
+sh AS (SELECT host, shape, count(*) AS cnt, count(said) AS n, count(*) FILTER (said = 'block') AS b,
+  CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/')[2:] END AS segs FROM v GROUP BY host, shape),
+e0 AS (SELECT *, unnest(range(1, len(segs) + 1)) AS d FROM sh),
+e AS (SELECT host, shape, cnt, n, b, d, segs[d] AS seg, array_to_string(segs[1:d], '/') AS pre, array_to_string(segs[1:d-1], '/') AS par FROM e0),
+c AS (SELECT host, d, pre, par, sum(cnt) AS cc FROM e GROUP BY ALL),
+m AS (SELECT host, d, par, count(*) AS ch FROM c GROUP BY ALL),
+ra AS (SELECT host, d, pre FROM c JOIN m USING (host, d, par) WHERE cc < 3 AND ch > 20),
+f AS (SELECT e.*, CASE WHEN ra.pre IS NOT NULL THEN '*' ELSE seg END AS tseg FROM e LEFT JOIN ra ON ra.host = e.host AND ra.d = e.d AND ra.pre = e.pre),
+tp AS (SELECT host, shape, list(tseg ORDER BY d) AS ts FROM f GROUP BY host, shape),
+k AS (SELECT f.host, f.shape, f.n, f.b, f.d, array_to_string(ts[1:f.d], '/') AS pre, array_to_string(ts[1:f.d-1], '/') AS par FROM f JOIN tp USING (host, shape)),
+o AS (SELECT host, d, pre, par, sum(n) AS n, sum(b) AS b FROM k GROUP BY ALL HAVING sum(n) > 0),
+po AS (SELECT host, d, par, sum(n) AS pn, sum(b) AS pb FROM o GROUP BY ALL),
+x AS (SELECT *, abs(b / n - pb / pn) * sqrt(CAST(n AS DOUBLE)) <= 1.96 * sqrt((pb / pn) * (1 - pb / pn)) AS alike FROM o JOIN po USING (host, d, par)),
+y AS (SELECT host, d, pre, CASE WHEN alike THEN sum(n) FILTER (alike) OVER w ELSE n END AS bn, CASE WHEN alike THEN sum(b) FILTER (alike) OVER w ELSE b END AS bb
+  FROM x WINDOW w AS (PARTITION BY host, d, par)),
+z AS (SELECT k.host, k.shape, arg_max(bn, k.d) AS bn, arg_max(bb, k.d) AS bb FROM k JOIN y USING (host, d, pre) GROUP BY k.host, k.shape),
+h AS (SELECT host, sum(n) AS hn, sum(b) AS hb FROM sh GROUP BY host)
+SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN (coalesce(bb, hb) + 0.8) / (coalesce(bn, hn) + 4.0) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  v.host || CASE WHEN v.shape = '' THEN '' ELSE '/' || array_to_string(ts, '/') END AS template
+FROM v LEFT JOIN tp ON tp.host = v.host AND tp.shape = v.shape LEFT JOIN z ON z.host = v.host AND z.shape = v.shape LEFT JOIN h ON h.host = v.host""",
     "op8_exact_dedup": """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)

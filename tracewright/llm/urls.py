@@ -1,22 +1,25 @@
 """URL filters by a path-template tree, in DataFrame operations only.
 
 A url is a host and a path.  Rules label what they fit; the tree learns from these labels and judges the
-rest.  Per host, path segments become nodes: segments with a digit, and rare children of a node with many
-children, are generalised to a wildcard; sibling branches whose labelled shares do not differ by a
-two-sided test from their parent's pool are merged; a template is rejected if its smoothed labelled
-purity, ``(blocked + M * PRIOR) / (labelled + M)``, is at least ``REJECT``.  A template takes the deepest
-level that has labels; without any the prior stands (allow).
+rest.  Per host, path segments of every depth become nodes: segments with a digit, and rare children of a
+node with many children, are generalised to a wildcard; sibling branches whose labelled shares do not
+differ by a two-sided test from their parent's pool are merged; a template is rejected if its smoothed
+labelled purity, ``(blocked + M * PRIOR) / (labelled + M)``, is at least ``REJECT``.  A template takes the
+deepest level that has labels, its host at last; without any the prior stands (allow).
 
-Hosts enter aggregated, so one host may hold any share of the rows.
+Equal shapes of a host enter aggregated, so one host may hold any share of the rows.  A node is named by
+its depth and the exclusive or of the hashes of its segments and their depths: a path costs its length,
+not the square of it.
 
 * null url or none with ``://``: empty host and path, no rule; their template is that of the empty host;
 * repeated rows: each is judged alike; empty table: no rows; a rule's path must begin the url's path, so
-  a url without a path fits no rule; other columns are not read, whatever their names.
+  a url without a path fits no rule; an empty segment is a segment; equal counts need no tie-break, as
+  every threshold is on a node of its own; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -45,42 +48,41 @@ def rule_of(rules=RULES) -> Column:
     return out
 
 
-def _general(segment: int) -> Column:
-    s = F.coalesce(F.get(F.split("path", "/"), F.lit(segment)), F.lit(""))
-    return F.when(s.rlike("[0-9]"), "*").otherwise(s)
+def _prefixes(segments: DataFrame, segment: str) -> DataFrame:
+    """``segments`` (id, depth, ...) with ``node`` and ``parent``: names of the path up to each depth."""
+    own = F.xxhash64("depth", segment)
+    upto = F.bit_xor(own).over(Window.partitionBy("id").orderBy("depth"))
+    return segments.withColumn("node", upto).withColumn("parent", F.col("node").bitwiseXOR(own))
 
 
-def _rare_to_wildcard(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
-    """``child`` becomes ``*`` where it is rare under a parent of many children."""
-    children = nodes.groupBy(*parent, child).agg(F.sum("rows").alias("rows_"))
-    many = children.groupBy(*parent).agg(F.count(F.lit(1)).alias("children_"))
-    wide = nodes.join(children, [*parent, child]).join(many, parent)
-    return wide.withColumn(f"{child}_", F.when((F.col("rows_") < RARE) & (F.col("children_") > MANY), "*").otherwise(F.col(child))).drop("rows_", "children_")
-
-
-def _merged_branches(nodes: DataFrame, parent: list[str], branch: str) -> DataFrame:
-    """(parent, branch, labelled, blocked) after pooling branches that do not differ from their parent."""
-    own = nodes.groupBy(*parent, branch).agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")).where("n > 0")
-    pool = own.groupBy(*parent).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, shape, template, purity) of every shape; ``pages`` has host, path and label (1 block, 0 allow,
+    null none), and ``shape``, its path with a wildcard for segments that hold a digit."""
+    shapes = pages.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"))
+    shapes = store.written(shapes.withColumn("id", F.xxhash64("host", "shape")), "url-shapes")
+    segments = shapes.where("shape <> ''").select("id", "host", "rows", "labelled", "blocked", F.posexplode(F.split("shape", "/")).alias("depth", "segment")).where("depth > 0")
+    named = store.written(_prefixes(segments, "segment"), "url-segments")
+    # rare children of nodes with many
+    children = store.written(named.groupBy("host", "depth", "parent", "node").agg(F.sum("rows").alias("rows")), "url-children")
+    many = children.groupBy("host", "depth", "parent").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > MANY)
+    rare = store.merged(children.where(F.col("rows") < RARE), many, ["host", "depth", "parent"]).select("host", "depth", "node", F.lit("*").alias("wildcard"))
+    general = store.merged(named, rare, ["host", "depth", "node"], "left").drop("node", "parent").withColumn("segment", F.coalesce("wildcard", "segment")).drop("wildcard")
+    nodes = store.written(_prefixes(general, "segment"), "url-nodes")
+    written = nodes.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("depth", "segment"))).alias("s")).select("id", F.concat(F.lit("/"), F.array_join("s.segment", "/")).alias("general"))
+    # labelled branches, pooled with those of their siblings that do not differ from the parent's pool
+    key = ["host", "depth", "parent"]
+    own = store.written(nodes.where("labelled > 0").groupBy(*key, "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b")), "url-branches")
+    pool = own.groupBy(*key).agg(F.sum("n").alias("pn"), F.sum("b").alias("pb"))
     share, part = F.col("pb") / F.col("pn"), F.col("b") / F.col("n")
     alike = F.abs(part - share) * F.sqrt(F.col("n").cast("double")) <= Z * F.sqrt(share * (1 - share))
-    tested = own.join(pool, parent).withColumn("alike", alike)
-    pooled = tested.where("alike").groupBy(*parent).agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    return tested.join(pooled, parent, "left").select(*parent, branch, F.when(F.col("alike"), F.col("mn")).otherwise(F.col("n")).alias("labelled"), F.when(F.col("alike"), F.col("mb")).otherwise(F.col("b")).alias("blocked"))
-
-
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, s1, s2, template, purity) of every pair of leading segments; ``pages`` has host, s1, s2 and
-    label (1 block, 0 allow, null none)."""
-    nodes = pages.groupBy("host", "s1", "s2").agg(F.count(F.lit(1)).alias("rows"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"))
-    nodes = store.written(nodes, "url-nodes")
-    nodes = _rare_to_wildcard(nodes, ["host"], "s1")
-    nodes = store.written(_rare_to_wildcard(nodes, ["host", "s1_"], "s2"), "url-templates")
-    first = _merged_branches(nodes, ["host"], "s1_").withColumnsRenamed({"labelled": "n1", "blocked": "b1"})
-    second = _merged_branches(nodes, ["host", "s1_"], "s2_").withColumnsRenamed({"labelled": "n2", "blocked": "b2"})
-    wide = nodes.join(first, ["host", "s1_"], "left").join(second, ["host", "s1_", "s2_"], "left")
-    n, b = F.coalesce("n2", "n1", F.lit(0)), F.coalesce("b2", "b1", F.lit(0))
-    return wide.select("host", "s1", "s2", F.concat("host", F.lit("/"), "s1_", F.lit("/"), "s2_").alias("template"), ((b + M * PRIOR) / (n + M)).alias("purity"))
+    tested = store.merged(own, pool, key).withColumn("alike", alike)
+    pooled = tested.where("alike").groupBy(*key).agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
+    branches = store.merged(tested, pooled, key, "left").select("host", "depth", "node", F.when(F.col("alike"), F.col("mn")).otherwise(F.col("n")).alias("n"), F.when(F.col("alike"), F.col("mb")).otherwise(F.col("b")).alias("b"))
+    deepest = store.merged(nodes.select("id", "host", "depth", "node"), branches, ["host", "depth", "node"]).groupBy("id").agg(F.max_by(F.struct("n", "b"), "depth").alias("deepest"))
+    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("hn"), F.sum("blocked").alias("hb"))
+    wide = shapes.select("id", "host", "shape").transform(store.merged, written, "id", "left").transform(store.merged, deepest, "id", "left").transform(store.merged, hosts, "host")
+    n, b = F.coalesce("deepest.n", "hn"), F.coalesce("deepest.b", "hb")
+    return wide.select("host", "shape", F.concat("host", F.coalesce("general", F.lit(""))).alias("template"), ((b + M * PRIOR) / (n + M)).alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -90,9 +92,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     said = F.lit(None).cast("string")
     for rule, verdict in verdicts.items():
         said = F.when(F.col("rule") == rule, verdict).otherwise(said)
-    ruled = ruled.withColumns({"said": said, "s1": _general(1), "s2": _general(2)})
+    ruled = ruled.withColumns({"said": said, "shape": F.regexp_replace("path", "[^/]*[0-9][^/]*", "*")})
     ruled = ruled.withColumn("label", F.when(F.col("said") == "block", 1).when(F.col("said") == "allow", 0))
     known = store.written(templates(ruled), "url-purity")
-    judged = store.merged(ruled, known, ["host", "s1", "s2"], "left")
+    judged = store.merged(ruled, known, ["host", "shape"], "left")
     verdict = F.coalesce("said", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template")
