@@ -3,7 +3,8 @@
 Base spans are found by pattern (assignments, access keys, long hex runs).  The method adds spans of
 candidates that prove to be what they look like: base64 or hex text is decoded and its key encoding
 parsed (nested DER lengths that close exactly, length-prefixed public keys), armoured keys are decoded
-between their marks, and the header of a signed token must be a JSON object that names an algorithm.
+between their marks, header lines apart, and the header of a signed token must be a JSON object that names
+an algorithm.  Base64 that is wrapped into lines is joined as far as the outer DER length says.
 Every whole text is scanned; offsets are code points, ends exclusive.
 
 * null and empty text: no spans; overlapping kinds: each kind reports its own; repeated rows: each is
@@ -31,7 +32,12 @@ UPPER_HEX = re.compile(r"[0-9A-F]{48,}")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
 #: Any three dotted runs, also those that begin inside of others; the header's JSON decides.
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{11,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*+))")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9]+(?: [A-Z0-9]+)*)-----([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9]+(?: [A-Z0-9]+)*)-----\s*((?:[A-Za-z-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]{16,})-----END \1-----")
+#: What encrypted armour tells of its cipher; its bytes have whole cipher blocks and no structure.
+CIPHER = re.compile(r"^DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,32}\s*$", re.M)
+#: Lines of base64 below one that begins as DER does.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{28,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/]++)+={0,2}")
+_GAP = re.compile(r"\s+")
 #: Whole runs of either alphabet, of 24 bytes at least; a key begins with byte 0x30 (M and A to P) or with three bytes 0.
 BASE64 = [re.compile(rf"(?<![{own}])(?:M[A-P]|AAAA)[{own}]{{28,}}+={{0,2}}") for own in ("A-Za-z0-9+/", "A-Za-z0-9_-")]
 #: Kinds in the order in which spans that begin together are listed.
@@ -61,13 +67,17 @@ def der_closes(data: bytes, depth: int = 0) -> bool:
     return True
 
 
+def der_size(data: bytes) -> int:
+    """Bytes of the value that begins here, as its length says."""
+    body = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
+    return body + (int.from_bytes(data[2:body], "big") if data[1] & 0x80 else data[1])
+
+
 def is_der_key(data: bytes) -> bool:
     """One outer SEQUENCE that fills the bytes and begins with an INTEGER or a SEQUENCE."""
-    if len(data) < 24 or data[0] != 0x30 or not der_closes(data):
+    if len(data) < 24 or data[0] != 0x30 or der_size(data) != len(data) or not der_closes(data):
         return False
-    body = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
-    size = int.from_bytes(data[2:body], "big") if data[1] & 0x80 else data[1]
-    return body + size == len(data) and data[body] in (0x02, 0x30)
+    return data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30)
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -94,6 +104,24 @@ def _key_kind(data: bytes | None) -> int | None:
     return None if not data else 5 if is_der_key(data) else 6 if is_ssh_key(data) else None
 
 
+def wrapped_key_end(text: str, start: int, end: int) -> int | None:
+    """Where the key that begins in these lines of base64 ends, if it is one that ends with a line."""
+    head = from_base64(text[start : start + 8])
+    chars, at, parts = -(-der_size(head) * 4 // 3) if head else 0, start, []
+    while chars > 0 and at < end:
+        gap = _GAP.search(text, at, end)
+        line = text[at : gap.start() if gap else end].rstrip("=")
+        if len(line) > chars:
+            return None
+        parts.append(line)
+        chars -= len(line)
+        last, at = at + len(line), gap.end() if gap else end
+    if chars > 0 or len(parts) < 2:
+        return None
+    data = from_base64("".join(parts))
+    return last + len(text[last:end]) - len(text[last:end].lstrip("=")) if data and is_der_key(data) else None
+
+
 def is_signed_token(text: str) -> bool:
     head, body, _ = text.split(".")
     raw, claims = from_base64(head, True), from_base64(body, True)
@@ -123,13 +151,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             spans.append((m.start(), 3, last))
     if "-----BEGIN" in text:
         for m in ARMOUR.finditer(text):
-            data = from_base64("".join(m[2].split()))
-            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0")):
+            data = from_base64("".join(m[3].split()))
+            if data and (is_der_key(data) or data.startswith(b"openssh-key-v1\0") or (len(data) % 8 == 0 and CIPHER.search(m[2]))):
                 spans.append((m.start(), 4, m.end()))
     found = set()
     for url, pattern in enumerate(BASE64):
         for m in pattern.finditer(text):
             found.add((m.start(), _key_kind(from_base64(m[0], bool(url))), m.end()))
+    for m in WRAPPED.finditer(text):
+        last = wrapped_key_end(text, m.start(), m.end())
+        if last:
+            found.add((m.start(), 5, last))
     for run in ANY_HEX.finditer(text):
         # the run of mixed case, and the runs of one case in it
         for m in (run, *HEX.finditer(text, *run.span()), *UPPER_HEX.finditer(text, *run.span())):
