@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, graph, ngram_join
+from tracewright.llm import exact_dedup, graph, ngram_join, store
 
 from .helpers import HARD, hard, lower, similarity_components
 
@@ -48,19 +49,33 @@ def test_empty_tables(spark):
     assert ngram_join.similarity_classes(none).collect() == []
 
 
-def test_counting_quotient_filter_merges_losslessly():
+@pytest.mark.parametrize("block_bits", [0, 1, 3])
+def test_counting_quotient_filter_merges_losslessly(block_bits):
     pick = np.random.default_rng(3)
     values = pick.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)
-    parts = [pick.choice(values, 200) for _ in range(4)]
-    filters = []
+    values[:40] = values[0] + np.arange(40, dtype=np.uint64)  # one run, far longer than its room
+    values[40:60] = np.uint64(2**64 - 1) - np.arange(20, dtype=np.uint64)
+    parts = [pick.choice(values, n) for n in (200, 30, 1, 1000)]
+    blocks = {}
     for p in parts:
-        for block, f in exact_dedup.CountingQuotientFilter.of(p, 54).blocks(3):
+        for block, f in exact_dedup.blocks_of(*exact_dedup.sorted_counts(p), block_bits):
             again = exact_dedup.CountingQuotientFilter.unpack(f.pack())
-            assert (again.fingerprints() >> np.uint64(61) == np.uint64(block)).all()
-            filters.append(again)
-    whole = exact_dedup.CountingQuotientFilter.merge(filters)
+            keys, counts = again.entries()
+            own = p[(p >> np.uint64(64 - block_bits)) == block] if block_bits else p
+            want = np.unique(own, return_counts=True)
+            assert keys.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
+            assert again.occupied.sum() == again.run_end.sum() and len(again.pack()) < 32 + len(again.slot) * (again.bits + 4) // 8 + 4
+            blocks.setdefault(block, []).append(again)
+    merged = [exact_dedup.merged_entries(blocks[k]) for k in sorted(blocks)]
     keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-    assert whole.fingerprints().tolist() == keys.tolist() and whole.count.tolist() == counts.tolist()
+    assert np.concatenate([k for k, _ in merged]).tolist() == keys.tolist() and np.concatenate([n for _, n in merged]).tolist() == counts.tolist()
+
+
+def test_counters_of_any_size():
+    keys, counts = np.arange(7, dtype=np.uint64) << np.uint64(50), np.array([1, 2, 255, 256, 2**20, 2**40, 2**62])
+    for bits in (1, 20, 57):
+        got = exact_dedup.CountingQuotientFilter.unpack(exact_dedup.CountingQuotientFilter.of(keys, counts, bits).pack()).entries() if bits < 21 else exact_dedup.CountingQuotientFilter.of(keys[:1], counts[-1:], 12).entries()
+        assert got[1].tolist() == (counts.tolist() if bits < 21 else [2**62])
 
 
 def joined(spark, rows):
@@ -92,6 +107,24 @@ def test_similarity_families(spark, seed, monkeypatch):
     assert joined(spark, rows) == similarity_components(rows)
 
 
+def test_stages_keep_clashing_columns(spark):
+    base = " ".join(f"a{k}" for k in range(60))
+    rows = [(1, base, True, "s"), (2, base + " b", False, "t"), (3, base.upper(), True, "u"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, maybe boolean, `Own` string").withColumns({"sha": F.lit("x"), "key": F.lit(1), "stays": F.lit(False)})
+    out = exact_dedup.drop_copies(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 2, 3]
+    out = ngram_join.one_of_each(df)
+    assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1]
+
+
+def test_filters_grow_with_their_keys(spark):
+    few = store.filter_of(spark.range(1000).select(store.filter_bit("id").alias("bit")))
+    many = store.filter_of(spark.range(400_000).select(store.filter_bit("id").alias("bit")))
+    assert 64 * len(few) == store.LEAST_BITS and 64 * len(many) == 1 << 22
+    inside = spark.range(500_000).where(store.in_filter(spark, many, store.filter_bit("id")))
+    assert inside.where("id < 400000").count() == 400_000 and inside.count() < 420_000
+
+
 def test_one_of_each(spark):
     base = " ".join(f"a{k}" for k in range(60))
     df = spark.createDataFrame([(3, base, "x"), (1, base + " b", "y"), (2, "other words here", "z"), (9, None, "n"), (10, None, "n")], "doc_id long, text string, key string")

@@ -4,9 +4,9 @@ import math
 import re
 
 import corpus_pipeline
-from tracewright.llm import langid, mixing, pieces
+from tracewright.llm import langid, pieces
 
-from .helpers import BLANKS, lower, similarity_components
+from .helpers import BLANKS, lower, plain_targets, similarity_components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_run(spark):
     sizes = {}
     for r in kept.values():
         sizes["1" + r["source"]] = sizes.get("1" + r["source"], 0) + len(re.findall(BLANKS, r["text"]))
-    wanted = mixing.targets(dict(sorted(sizes.items())))
+    wanted = plain_targets(sizes)
     out = corpus_pipeline.run(spark, SMALL).collect()
     assert {r["doc_id"] for r in out} <= set(kept) and all(r["round_trip"] for r in out)
     taken = {}

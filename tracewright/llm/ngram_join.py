@@ -337,11 +337,14 @@ def _mixed(entries: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of each component (its smallest doc_id), all columns kept."""
+    """The rows of ``docs`` with one of each component (its smallest doc_id), all columns kept, whatever
+    their names.  Documents without words, and rows without a doc_id, are linked with nothing and stay;
+    rows that repeat a doc_id stay or go together."""
     spark = docs.sparkSession
     gone = similarity_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
     gone = store.written(gone, "ngram-gone")
     bitmap = store.filter_of(gone.select(store.filter_bit("doc_id").alias("bit")))
-    flagged = docs.withColumn("__maybe", F.coalesce(store.in_filter(spark, bitmap, store.filter_bit(F.col("doc_id").cast("long"))), F.lit(False)))
-    maybe = flagged.where("__maybe").transform(store.merged, gone.select(F.col("doc_id").alias("__id")), F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
-    return flagged.where("not __maybe").select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    maybe, own = store.unused(docs, "maybe", "own")
+    flagged = docs.withColumn(maybe, F.coalesce(store.in_filter(spark, bitmap, store.filter_bit(F.col("doc_id").cast("long"))), F.lit(False)))
+    some = flagged.where(F.col(maybe)).transform(store.merged, gone.select(F.col("doc_id").alias(own)), F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    return flagged.where(~F.col(maybe)).select(*docs.columns).unionByName(some.select(*docs.columns))
