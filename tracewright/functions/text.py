@@ -126,3 +126,52 @@ def set_verdict(found: Column, true: Column) -> Column:
         .when(F.size(found) == 1, F.when(inside, "CORRECT_UNIQUE").otherwise("WRONG_UNIQUE"))
         .otherwise(F.when(inside, "AMBIGUOUS_TRUE_INCLUDED").otherwise("AMBIGUOUS_WRONG"))
     )
+
+
+# fixed values: folders that hold no production sources
+NOT_PRODUCTION = ("test", "tests", "example", "examples", "fixture", "fixtures", "sample", "samples", "template", "templates", "build", "target")
+# fixed values: the stage that each split serves
+STAGE_OF_SPLIT = {"CALIBRATION_KNOWN": "CALIBRATION", "TEST_KNOWN": "TEST", "UNKNOWN_HELDOUT": "TEST"}
+
+
+def ignored_entry(p: Column) -> Column:
+    """Packaging metadata and file-system noise among archive entries."""
+    low = F.lower(normal_path(p))
+    return low.startswith("meta-inf/") | low.contains("__macosx/") | low.endswith(".ds_store")
+
+
+def production_path(p: Column) -> Column:
+    """Inside a production source tree, and in none of the folders that are not."""
+    low = F.lower(p)
+    return low.rlike("(^|/)src/main/(java|kotlin|resources)/") & ~F.concat(F.lit("/"), low).rlike(f"/({'|'.join(NOT_PRODUCTION)})/")
+
+
+def stage_of_split(split: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, stage in STAGE_OF_SPLIT.items():
+        out = F.when(split == name, stage).otherwise(out)
+    return out
+
+
+def repository_url(url: Column) -> Column:
+    """``https://github.com/owner/repo`` of a url that names a repository there, else empty."""
+    u = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), "/+$", ""), "[.]git$", "")
+    host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    parts = F.filter(F.split(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
+    known = host.isin("github.com", "www.github.com") & (F.size(parts) >= 2)
+    return F.when(known, F.concat(F.lit("https://github.com/"), F.get(parts, F.lit(0)), F.lit("/"), F.get(parts, F.lit(1)))).otherwise("")
+
+
+def hex_words(h: Column, words: int) -> Column:
+    """``words`` 32-bit words of a hex string of just that length; null for an empty one; else an error."""
+    h = F.trim(h)
+    right = h.rlike(f"^[0-9a-fA-F]{{{8 * words}}}$")
+    value = F.array(*[word32(h, k) for k in range(words)])
+    return F.when(F.coalesce(h, F.lit("")) == "", None).when(right, value).otherwise(F.raise_error(F.concat(F.lit("not a hash: "), h)).cast("array<bigint>"))
+
+
+def same_value(a: Column, b: Column, integer: bool) -> Column:
+    """Two fields of an evidence table agree: whole numbers by value, others by text, empty only with empty."""
+    a, b = F.trim(F.coalesce(a.cast("string"), F.lit(""))), F.trim(F.coalesce(b.cast("string"), F.lit("")))
+    number = lambda x: x.try_cast("double").try_cast("bigint")
+    return F.when((a == "") | (b == ""), a == b).otherwise(F.coalesce(number(a) == number(b), F.lit(False)) if integer else a == b)

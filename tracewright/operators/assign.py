@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,34 +18,40 @@ def independent(table: DataFrame) -> DataFrame:
     return table.groupBy("query_id", "node_id").agg(best.alias("best")).select("query_id", "node_id", F.col("best.parent").alias("parent"))
 
 
-def subsets(pool: DataFrame, most: int) -> DataFrame:
-    """All parent sets of at most ``most`` (three) of each query's pool, in order of rank: k, p1, p2, p3."""
-    none = F.lit(None).cast(pool.schema["parent"].dataType)
-    one = pool.select("query_id", F.col("rank").alias("r1"), F.col("parent").alias("p1"))
-    two = one.join(pool.select("query_id", F.col("rank").alias("r2"), F.col("parent").alias("p2")), "query_id").where("r1 < r2")
-    three = two.join(pool.select("query_id", F.col("rank").alias("r3"), F.col("parent").alias("p3")), "query_id").where("r2 < r3")
-    sets = pool.select("query_id").distinct().select("query_id", F.lit(0).alias("k"), *[none.alias(f"p{i}") for i in (1, 2, 3)], *[F.lit(-1).alias(f"r{i}") for i in (1, 2, 3)])
-    for k, rows in ((1, one), (2, two), (3, three)):
-        if k <= most:
-            own = lambda i, name, other: F.col(f"{name}{i}") if i <= k else other  # noqa: E731, B023
-            sets = sets.unionByName(rows.select("query_id", F.lit(k).alias("k"), *[own(i, "p", none).alias(f"p{i}") for i in (1, 2, 3)], *[own(i, "r", F.lit(-1)).alias(f"r{i}") for i in (1, 2, 3)]))
-    return sets
+def _subsets(size: int, most: int) -> list[tuple[int, ...]]:
+    """All sets of at most ``most`` (three) ranks of a pool, in the order of their size and ranks."""
+    return [c for k in range(most + 1) for c in itertools.combinations(range(1, size + 1), k)]
 
 
 def solve(table: DataFrame, pool: DataFrame, method: Method, by_size: bool = False) -> DataFrame:
     """The parent set of least assignment cost plus penalty for each parent; a node without an eligible
-    parent of cost at most 1 costs 1.  ``by_size`` keeps the best set of each size."""
-    sets = subsets(pool, method.most_parents)
-    nodes = table.join(pool.select("query_id", "parent"), ["query_id", "parent"]).where("eligible and cost <= 1").select("query_id", "node_id", "parent", "cost")
-    count = table.groupBy("query_id").agg(F.countDistinct("node_id").alias("nodes"))
-    member = (F.col("parent") == F.col("p1")) | (F.col("parent") == F.col("p2")) | (F.col("parent") == F.col("p3"))
-    near = sets.join(nodes, "query_id").where(member).groupBy("query_id", "r1", "r2", "r3", "node_id").agg(F.min("cost").alias("cost"))
-    paid = near.groupBy("query_id", "r1", "r2", "r3").agg(F.sum("cost").alias("paid"), F.count(F.lit(1)).alias("served"))
-    total = sets.join(paid, ["query_id", "r1", "r2", "r3"], "left").join(count, "query_id")
-    served = F.coalesce("served", F.lit(0))
-    objective = F.round(F.coalesce("paid", F.lit(0.0)) + (F.col("nodes") - served) + method.penalty * F.col("k"), 9)
-    key = F.struct(objective.alias("objective"), F.col("k"), F.col("r1"), F.col("r2"), F.col("r3"), F.col("p1"), F.col("p2"), F.col("p3"))
-    return total.groupBy("query_id", *(["k"] if by_size else [])).agg(F.min(key).alias("best")).select("query_id", "best.objective", "best.k", "best.p1", "best.p2", "best.p3")
+    parent of cost at most 1 costs 1.  ``by_size`` keeps the best set of each size.
+
+    A query's costs by rank in its pool are one row, in which the sets are enumerated: no join on sets.
+    """
+    usable = F.when(F.col("eligible") & (F.col("cost") <= 1), F.col("cost"))
+    ranked = table.join(pool.select("query_id", "parent", "rank"), ["query_id", "parent"], "left")
+    # costs[r - 1] of each rank, then 1 for a place of the set that is not taken
+    at = [F.coalesce(F.min(F.when(F.col("rank") == r, usable)), F.lit(1.0)) for r in range(1, method.pool + 1)]
+    rows = ranked.groupBy("query_id", "node_id").agg(F.array(*at, F.lit(1.0)).alias("costs"))
+    rows = rows.groupBy("query_id").agg(F.collect_list("costs").alias("rows"))  # the seven of a package
+    listed = pool.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "parent"))).alias("parents"))
+    sets = _subsets(method.pool, method.most_parents)
+    none = method.pool + 1
+    struct = "named_struct('k', {}, 'r1', {}, 'r2', {}, 'r3', {})"
+    every = F.expr(f"array({', '.join(struct.format(len(c), *c, *[-1] * (3 - len(c))) for c in sets)})")
+    place = lambda r: F.when(r < 0, none).otherwise(r)
+    cost = lambda row, s: F.least(*[F.element_at(row, place(s[f"r{i}"])) for i in (1, 2, 3)])
+    paid = lambda s: F.aggregate("rows", F.lit(0.0), lambda sum_, row: sum_ + cost(row, s))
+    objective = lambda s: F.round(paid(s) + method.penalty * s["k"], 9)
+    tried = F.transform(F.filter(every, lambda s: F.greatest(s["r1"], s["r2"], s["r3"]) <= F.size("parents")), lambda s: F.struct(objective(s).alias("objective"), s["k"].alias("k"), s["r1"].alias("r1"), s["r2"].alias("r2"), s["r3"].alias("r3")))
+    whole = rows.join(listed, "query_id").withColumn("tried", tried)
+    if by_size:
+        best = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("parents"), F.lit(method.most_parents))), lambda k: F.array_min(F.filter("tried", lambda s: s["k"] == k))))
+    else:
+        best = F.array_min("tried")
+    parent = lambda i: F.when(F.col(f"best.r{i}") > 0, F.element_at("parents", F.col(f"best.r{i}"))).alias(f"p{i}")
+    return whole.select("query_id", "parents", best.alias("best")).select("query_id", "best.objective", "best.k", parent(1), parent(2), parent(3))
 
 
 def assigned(table: DataFrame, sets: DataFrame) -> DataFrame:

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import histogram_distance
 from ..params import EPSILON, MISSING, Method
 
-#: Gallery rows that one block of the product holds.
-BLOCK_ROWS = 4096
-
 
 def sign_word(vector: Column, at: int) -> Column:
     """32 sign bits of a vector from position ``at``, lowest first."""
@@ -23,21 +19,52 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _minima(compared: DataFrame, words: dict[str, int]) -> DataFrame:
+    near = compared.groupBy("query_id", "node_id", "parent").agg(*[F.min(hamming(F.col(w), F.col(f"g_{w}"))).alias(w) for w in words])
+    return near.select("query_id", "node_id", "parent", *[F.coalesce(F.col(w) / bits, F.lit(MISSING)).alias(f"d_{w}") for w, bits in words.items()])
+
+
 def parent_minima(nodes: DataFrame, gallery: DataFrame, words: dict[str, int], blocks: int | None = None) -> DataFrame:
     """(query_id, node_id, parent, one distance for each representation): the least distance of a node to
     each parent's components, missing ones 1.  ``words`` maps a representation's column to its bits.
 
-    The product is dealt in blocks of the gallery by an equi-join on the block, so it is a hash join with
-    map-side minima at any size; only nodes are repeated, once for each block.
+    Every node meets the whole gallery, so every parent has its row.  The product is dealt in blocks of the
+    gallery (by default a quarter of the shuffle partitions) by an equi-join on the block, so it is a hash
+    join with map-side minima at any size; only nodes are repeated, once for each block.
     """
     if blocks is None:
-        blocks = max(1, math.ceil(gallery.count() / BLOCK_ROWS))
+        blocks = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     g = gallery.select("parent", *[F.col(w).alias(f"g_{w}") for w in words], F.pmod(F.xxhash64("parent", *words), F.lit(blocks)).alias("block"))
     n = nodes.select("query_id", "node_id", *words, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    near = n.join(g, "block").groupBy("query_id", "node_id", "parent").agg(*[F.min(hamming(F.col(w), F.col(f"g_{w}"))).alias(w) for w in words])
-    grid = nodes.select("query_id", "node_id").crossJoin(F.broadcast(gallery.select("parent").distinct()))
-    dense = grid.join(near, ["query_id", "node_id", "parent"], "left")
-    return dense.select("query_id", "node_id", "parent", *[F.coalesce(F.col(w) / bits, F.lit(MISSING)).alias(f"d_{w}") for w, bits in words.items()])
+    return _minima(n.join(g, "block"), words)
+
+
+def listed_minima(nodes: DataFrame, gallery: DataFrame, listed: DataFrame, words: dict[str, int]) -> DataFrame:
+    """``parent_minima`` of the parents that ``listed`` (query_id, parent) has for a node's query, and of no
+    others: what is not listed is never compared."""
+    g = gallery.select("parent", *[F.col(w).alias(f"g_{w}") for w in words])
+    n = nodes.select("query_id", "node_id", *words)
+    return _minima(n.join(listed.select("query_id", "parent").distinct(), "query_id").join(g, "parent"), words)
+
+
+def modal_minima(nodes: DataFrame, gallery: DataFrame, representations: dict[str, dict[str, list[str]]], histograms: dict[str, str]) -> DataFrame:
+    """(query_id, node_id, parent, distance) by modality: the mean over a modality's representations (lists
+    of 32-bit words, and a histogram column where ``histograms`` names one) of the least distance to each
+    parent's components of the same modality, dealt in blocks of the gallery; a parent without such
+    components has no row."""
+    out, blocks = None, max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    for modality, words in representations.items():
+        own, other = nodes.where(F.col("modality") == modality), gallery.where(F.col("modality") == modality)
+        columns = sorted({c for cs in words.values() for c in cs} | ({histograms[modality]} if modality in histograms else set()))
+        g = other.select("parent", *[F.col(c).alias(f"g_{c}") for c in columns], F.pmod(F.xxhash64("parent", *columns), F.lit(blocks)).alias("block"))
+        met = own.select("query_id", "node_id", *columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(g, "block")
+        least = {name: F.min(sum((hamming(F.col(c), F.col(f"g_{c}")) for c in cs), F.lit(0)) / (32 * len(cs))) for name, cs in words.items()}
+        if modality in histograms:
+            least["histogram"] = F.min(histogram_distance(F.col(histograms[modality]), F.col(f"g_{histograms[modality]}")))
+        near = met.groupBy("query_id", "node_id", "parent").agg(*[v.alias(k) for k, v in least.items()])
+        rows = near.select("query_id", "node_id", "parent", (sum((F.coalesce(F.col(k), F.lit(MISSING)) for k in least), F.lit(0.0)) / len(least)).alias("distance"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def fused(minima: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import hash_order
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -16,7 +21,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     spark = edges.sparkSession
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if own is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/tracewright-checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tracewright-checkpoints"))
     both = canonical(edges)
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node").checkpoint()
@@ -54,3 +61,59 @@ def unique_resolve(references: DataFrame, targets: DataFrame) -> DataFrame:
     """``references`` (source, key) joined with ``targets`` (key, path) where a key has one path only."""
     one = targets.groupBy("key").agg(F.countDistinct("path").alias("paths"), F.min("path").alias("path"))
     return references.join(one, "key", "left").select("source", "key", F.when(F.col("paths") == 1, F.col("path")).alias("path"), F.coalesce("paths", F.lit(0)).alias("paths"))
+
+
+def distances(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(graph, node, steps, before): the least number of steps from each graph's start, up to ``most``, and
+    the least node before it on such a path.  ``edges`` (graph, a, b) go both ways; one join a step, of the
+    last step's front only."""
+    both = edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    none = F.lit(None).cast(starts.schema["node"].dataType)
+    known = starts.select("graph", "node", F.lit(0).alias("steps"), none.alias("before"))
+    front = known
+    for step in range(1, most + 1):
+        near = front.select("graph", F.col("node").alias("a")).join(both, ["graph", "a"]).groupBy("graph", F.col("b").alias("node")).agg(F.min("a").alias("before"))
+        front = near.join(known.select("graph", "node"), ["graph", "node"], "left_anti").select("graph", "node", F.lit(step).alias("steps"), "before")
+        known = known.unionByName(front)
+    return known
+
+
+def grown(edges: DataFrame, anchors: DataFrame, hard: DataFrame, size: int, most: int) -> DataFrame:
+    """Fragments: of each graph its anchor (graph, node), the nearest hard nodes (ties by node) up to
+    ``size`` with it, and the connectors on their paths to the anchor.  (graph, node, role)"""
+    reached = distances(edges, anchors, most)
+    place = F.row_number().over(Window.partitionBy("graph").orderBy("steps", "node"))
+    picked = reached.join(hard.select("graph", "node"), ["graph", "node"], "left_semi").where("steps > 0").withColumn("place", place).where(F.col("place") < size).drop("place")
+    roles = anchors.select("graph", "node", F.lit("ANCHOR").alias("role")).unionByName(picked.select("graph", "node", F.lit("HARD").alias("role")))
+    way = picked
+    for _ in range(most - 1):
+        way = way.select("graph", F.col("before").alias("node")).distinct().join(reached, ["graph", "node"]).where("steps > 0")
+        roles = roles.unionByName(way.select("graph", "node", F.lit("CONNECTOR").alias("role")))
+    return roles.groupBy("graph", "node").agg(F.min("role").alias("as_one"), F.min(F.when(F.col("role") != "CONNECTOR", F.col("role"))).alias("own")).select("graph", "node", F.coalesce("own", "as_one").alias("role"))
+
+
+def chained(labels: DataFrame, seed: str = "0") -> DataFrame:
+    """Edges (graph, a, b) that connect each graph's components (graph, node, component): components in the
+    hash order of their names, each joined to the next by their least nodes."""
+    least = labels.groupBy("graph", "component").agg(F.min("node").alias("node"))
+    order = Window.partitionBy("graph").orderBy(hash_order(F.col("component"), seed, "connect"), "component")
+    return least.select("graph", F.col("node").alias("a"), F.lead("node").over(order).alias("b")).where("b is not null")
+
+
+def reference_kinds(references: DataFrame, own: DataFrame, known: DataFrame) -> DataFrame:
+    """Per source of ``references`` (source, owner, key): how many keys its owner's targets (owner, key)
+    hold, how many others' do, and how many none's."""
+    inside = own.select("owner", "key").distinct().withColumn("_own", F.lit(True))
+    anywhere = known.select("key").distinct().withColumn("_any", F.lit(True))
+    joined = references.distinct().join(inside, ["owner", "key"], "left").join(anywhere, "key", "left")
+    here, there = F.col("_own").isNotNull(), F.col("_any").isNotNull()
+    return joined.groupBy("source").agg(F.count_if(here).alias("internal"), F.count_if(~here & there).alias("external"), F.count_if(~there).alias("unresolved"))
+
+
+def release_statistics(labels: DataFrame, hard: DataFrame) -> DataFrame:
+    """Per graph of ``labels`` (graph, node, component): nodes, components, the share of the largest, and the
+    share of the hard nodes (graph, node) that the largest covers (ties: the least component)."""
+    sizes = labels.join(hard.select("graph", "node").withColumn("_hard", F.lit(1)), ["graph", "node"], "left").groupBy("graph", "component").agg(F.count(F.lit(1)).alias("size"), F.count("_hard").alias("hard"))
+    largest = F.max_by(F.struct("size", "hard"), F.struct("size", -F.col("component")))
+    out = sizes.groupBy("graph").agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("components"), F.sum("hard").alias("hard"), largest.alias("l"))
+    return out.select("graph", "nodes", "components", (F.col("l.size") / F.col("nodes")).alias("largest_rate"), F.when(F.col("hard") > 0, F.col("l.hard") / F.col("hard")).otherwise(0.0).alias("hard_coverage"))

@@ -87,3 +87,41 @@ def threshold_sweep(rows: DataFrame) -> DataFrame:
     unknown = f1(ratio(tp, tp + fp), ratio(tp, F.col("ut")))
     known = f1(ratio(F.col("ka"), F.col("ka") + F.col("ua")), ratio(F.col("ka"), F.col("kt")))
     return points.select("threshold", tp.alias("tp"), fp.alias("fp"), F.round((unknown + known) / 2, 9).alias("macro_f1"), F.round(unknown, 9).alias("unknown_f1"))
+
+
+def taxonomy(pairs: DataFrame, pool: DataFrame) -> DataFrame:
+    """Each node's error type and the stage that fails: (truth, predicted; null is UNKNOWN) against the
+    query's pool of parents."""
+    held = pool.groupBy("query_id").agg(F.collect_set("parent").alias("pool"))
+    rows = pairs.join(held, "query_id", "left")
+    t, p = F.col("truth"), F.col("predicted")
+    inside = F.coalesce(F.array_contains("pool", t), F.lit(False))
+    kind = F.when(t.eqNullSafe(p), "CORRECT").when(t.isNull(), "UNKNOWN_TO_KNOWN").when(p.isNull(), "KNOWN_TO_UNKNOWN").otherwise("WRONG_KNOWN_PARENT")
+    stage = F.when(t.eqNullSafe(p), "NONE").when(t.isNotNull() & ~inside, "RETRIEVAL").otherwise("RECONSTRUCTION")
+    return rows.select("query_id", "node_id", kind.alias("error_type"), stage.alias("failure_stage"), F.when(t.isNotNull(), inside).alias("in_pool"))
+
+
+def three_truths(pairs: DataFrame) -> DataFrame:
+    """Per query of (truth, predicted; null is UNKNOWN, ``source`` the real source of each node): F1 and
+    exactness against the known parents and UNKNOWN as one label (collapsed), against the known parents
+    alone (registered), and whether the number found is that of UNKNOWN as one and that of all sources."""
+    label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
+    g = pairs.groupBy("query_id").agg(F.collect_set(label("truth")).alias("ct"), F.collect_set(label("predicted")).alias("cp"), F.collect_set("truth").alias("rt"), F.collect_set("predicted").alias("rp"), F.countDistinct("source").alias("sources"))
+    def scores(t, p):
+        both, nt, np_ = F.size(F.array_intersect(t, p)), F.size(t), F.size(p)
+        return F.when((nt == 0) & (np_ == 0), 1.0).otherwise(f1(ratio(both, np_), ratio(both, nt))), (both == nt) & (both == np_)
+    cf, ce = scores("ct", "cp")
+    rf, re_ = scores("rt", "rp")
+    return g.select("query_id", cf.alias("collapsed_f1"), ce.alias("collapsed_exact"), rf.alias("registered_f1"), re_.alias("registered_exact"), (F.size("cp") == F.size("ct")).alias("collapsed_k"), (F.size("cp") == F.col("sources")).alias("actual_k"))
+
+
+def usage(rows: DataFrame, key: str, labels: DataFrame) -> DataFrame:
+    """How often each label is used, those never used with 0."""
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("used"))
+    return labels.select(key).distinct().join(counted, key, "left").select(key, F.coalesce("used", F.lit(0)).alias("used"))
+
+
+def kept_if_better(scores: DataFrame, gain: float = 1e-12) -> DataFrame:
+    """``scores`` (one, other) with their difference and the decision to keep the other method."""
+    delta = F.col("other") - F.col("one")
+    return scores.withColumns({"delta": delta, "decision": F.when(delta > gain, "KEEP").otherwise("REJECT")})

@@ -83,3 +83,107 @@ def restored(rows: DataFrame, hide: DataFrame) -> DataFrame:
 def tiled(rows: DataFrame, times: int) -> DataFrame:
     """Every row ``times`` times, numbered by ``tile``."""
     return rows.withColumn("tile", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+
+def aligned(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """``a`` and ``b`` joined on the key; a key that only one side has is an error."""
+    here = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), key, "full_outer")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return here.where(F.when(both, True).otherwise(F.raise_error(F.concat(F.lit("one side lacks "), F.concat_ws("/", *key))).cast("boolean"))).drop("_a", "_b")
+
+
+def with_roles(rows: DataFrame, roles: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with the role of their key; a row whose key has none is an error."""
+    joined = rows.join(roles.select(key, column), key, "left")
+    return joined.withColumn(column, F.coalesce(column, F.raise_error(F.concat(F.lit("no role for "), F.col(key).cast("string"))).cast("string")))
+
+
+def at_least(pool: DataFrame, by: str, k: int) -> DataFrame:
+    """``pool``, or an error if a group has fewer than k rows."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(by))
+    return pool.withColumn("_n", n).where(F.when(F.col("_n") >= k, True).otherwise(F.raise_error(F.concat(F.lit("too few in "), F.col(by).cast("string"))).cast("boolean"))).drop("_n")
+
+
+def masks(rows: DataFrame, current: DataFrame) -> DataFrame:
+    """hard: the content is not in the own project's current release; strict: nor is the path."""
+    sha = current.select("project", "sha").distinct().withColumn("_sha", F.lit(True))
+    path = current.select("project", "path").distinct().withColumn("_path", F.lit(True))
+    joined = rows.join(sha, ["project", "sha"], "left").join(path, ["project", "path"], "left")
+    hard = F.col("_sha").isNull()
+    return joined.select("id", hard.alias("hard"), (hard & F.col("_path").isNull()).alias("strict"))
+
+
+def source_files(references: DataFrame, files: DataFrame) -> DataFrame:
+    """The source file of each reference (id, path) among ``files`` (path): the one that ends with its path,
+    else the one of its name, else why there is none.  Files enter by every suffix, so both are equi-joins."""
+    parts = F.split("path", "/")
+    ends = files.distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))).alias("end"))
+    by_end = ends.groupBy("end").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("file"))
+    name = F.substring_index("path", "/", -1)
+    rows = references.select("id", "path", name.alias("name"))
+    whole = by_end.select(F.col("end").alias("path"), F.col("n").alias("whole"), F.col("file").alias("whole_file"))
+    short = by_end.select(F.col("end").alias("name"), F.col("n").alias("named"), F.col("file").alias("named_file"))
+    joined = rows.join(whole, "path", "left").join(short, "name", "left")
+    status = F.when(F.col("whole") == 1, "SUFFIX").when(F.col("whole") > 1, "AMBIGUOUS_SUFFIX").when(F.col("named") == 1, "BASENAME").when(F.col("named") > 1, "AMBIGUOUS_BASENAME").otherwise("MISSING")
+    return joined.select("id", status.alias("status"), F.when(F.col("whole") == 1, F.col("whole_file")).when(F.col("whole").isNull() & (F.col("named") == 1), F.col("named_file")).alias("file"))
+
+
+def chosen_tags(wanted: DataFrame, tags: DataFrame) -> DataFrame:
+    """The tag of each wanted version (id, repo, version, date) among ``tags`` (repo, tag, date; normalised
+    ``tag`` and ``version``): the same, else the only one that ends with it, else the last one by its date."""
+    met = wanted.withColumnsRenamed({"date": "by"}).join(tags, "repo")
+    same, ends = F.col("tag") == F.col("version"), F.col("tag").endswith(F.col("version"))
+    last = lambda when: F.max(F.when(when, F.struct("date", "tag"))).getField("tag")
+    found = met.groupBy("id").agg(last(same).alias("exact"), F.countDistinct(F.when(ends, F.col("tag"))).alias("n"), last(ends).alias("suffix"), last(F.col("date") <= F.col("by")).alias("dated"))
+    suffix = F.when(F.col("n") == 1, F.col("suffix"))
+    how = F.when(F.col("exact").isNotNull(), "EXACT").when(suffix.isNotNull(), "SUFFIX").when(F.col("dated").isNotNull(), "DATE").otherwise("NONE")
+    return wanted.select("id").join(found, "id", "left").select("id", F.coalesce("exact", suffix, "dated").alias("tag"), how.alias("how"))
+
+
+def global_sets(table: DataFrame, most: int = 3) -> DataFrame:
+    """For each K up to ``most`` (three) the K parents with the least total of nearest distances, no node
+    unknown, ties by parents.  A node's parents are a project list."""
+    out = None
+    for k in range(1, most + 1):
+        rows = table.select("query_id", "node_id", F.col("parent").alias("p1"), F.col("fused").alias("d"))
+        for i in range(2, k + 1):
+            other = table.select("query_id", "node_id", F.col("parent").alias(f"p{i}"), F.col("fused").alias("o"))
+            rows = rows.join(other, ["query_id", "node_id"]).where(F.col(f"p{i - 1}") < F.col(f"p{i}")).withColumn("d", F.least("d", "o")).drop("o")
+        ps = [f"p{i}" for i in range(1, k + 1)]
+        best = rows.groupBy("query_id", *ps).agg(F.round(F.sum("d"), 9).alias("total")).groupBy("query_id").agg(F.min(F.struct("total", *ps)).alias("b"))
+        none = F.lit(None).cast(table.schema["parent"].dataType)
+        best = best.select("query_id", F.lit(k).alias("k"), F.col("b.total").alias("total"), *[(F.col(f"b.p{i}") if i <= k else none).alias(f"p{i}") for i in (1, 2, 3)])
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def scenarios(parents: DataFrame, components: DataFrame, kinds: list[tuple[str, int, int]], count: int, allocation: dict[int, list[int]], seed: str = "0") -> DataFrame:
+    """Query packages: of each kind (name, known parents, unknown parents) ``count`` queries; parents
+    (parent, known) and their components (parent, id) are taken in hash order, components by the allocation
+    of as many parents.  One row a component, its slot the place of its parent."""
+    spark = parents.sparkSession
+    plan = [(name, f"{name}-{i}", known, unknown, k + 1, allocation[known + unknown][k]) for name, known, unknown in kinds for i in range(count) for k in range(known + unknown)]
+    plan = spark.createDataFrame(plan, "scenario string, query string, known int, unknown int, slot int, take int")
+    asked = plan.select("query").distinct().join(parents)  # a project list for each query
+    order = hash_order(F.concat_ws("-", "query", "parent"), seed, "parent")
+    place = F.row_number().over(Window.partitionBy("query", "known").orderBy(order, "parent"))
+    ranked = asked.withColumn("place", place).withColumnsRenamed({"known": "is_known"})
+    wanted = F.when(F.col("slot") <= F.col("known"), F.col("slot")).otherwise(F.col("slot") - F.col("known"))
+    chosen = plan.withColumns({"place": wanted, "is_known": F.col("slot") <= F.col("known")}).join(ranked, ["query", "place", "is_known"])
+    drawn = chosen.join(components, "parent")
+    nth = F.row_number().over(Window.partitionBy("query", "slot").orderBy(hash_order(F.concat_ws("-", "query", "id"), seed, "component"), "id"))
+    return drawn.withColumn("nth", nth).where("nth <= take").select("scenario", "query", "slot", "parent", "id")
+
+
+def recomposed(unknown: DataFrame, donors: DataFrame, seed: str = "0") -> DataFrame:
+    """Unknown components (query_id, node_id) with sources of their own: a query's slots, in the order of
+    its nodes, take its sources in hash order in turn, and of a source the donor components (source, id) in
+    hash order.  (query_id, node_id, slot, source, donor)"""
+    slot = F.row_number().over(Window.partitionBy("query_id").orderBy("node_id")) - 1
+    slots = unknown.select("query_id", "node_id").withColumn("slot", slot)
+    asked = slots.select("query_id").distinct().join(donors.select("source").distinct())  # a project list
+    w = Window.partitionBy("query_id")
+    ranked = asked.withColumns({"turn": F.row_number().over(w.orderBy(hash_order(F.concat_ws("-", "query_id", "source"), seed, "source"), "source")) - 1, "n": F.count(F.lit(1)).over(w)})
+    dealt = slots.join(ranked, "query_id").where(F.pmod("slot", "n") == F.col("turn")).withColumn("nth", F.floor(F.col("slot") / F.col("n")) + 1)
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(hash_order(F.col("id"), seed, "donor"), "id"))
+    return dealt.join(donors.withColumn("nth", nth), ["source", "nth"]).select("query_id", "node_id", "slot", "source", F.col("id").alias("donor"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +38,28 @@ def survival(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("id", "project", state.alias("state"), who.alias("attribution"))
 
 
+def _simhash128(batches):
+    """Weighted sign sums a row: tokens are hashed once a batch, counted in the row."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        texts = pc.fill_null(lists.flatten(), "").dictionary_encode()
+        digests = b"".join(hashlib.sha256(t.encode()).digest()[:16] for t in texts.dictionary.to_pylist())
+        signs = 2 * np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 16), axis=1).astype(np.int64) - 1
+        code = np.asarray(texts.indices)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64))
+        keep, words = [], []
+        for row, end in enumerate(ends):
+            begin = ends[row - 1] if row else 0
+            if end > begin:
+                own, count = np.unique(code[begin:end], return_counts=True)
+                keep.append(row)
+                words.append(np.packbits(count @ signs[own] >= 0).view(">u4").astype(np.int64))
+        words = np.stack(words) if words else np.zeros((0, 4), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(words[:, k]) for k in range(4))], names=[batch.schema.names[0], "w0", "w1", "w2", "w3"])
+
+
 def simhash128(rows: DataFrame, key: str, tokens: str, most: int = 100_000) -> DataFrame:
     """128-bit weighted SimHash over the first 128 bits of SHA-256, most significant first, as four 32-bit
-    words; no tokens, no row.  Token counts are reduced before the bits are spread."""
-    counted = rows.select(key, F.explode(F.slice(F.col(tokens), 1, most)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("w"))
-    h = F.sha2("token", 256)
-    hashed = counted.select(key, "w", *[F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k}") for k in range(4)])
-    bit = lambda k, i: F.when(F.shiftrightunsigned(F.col(f"h{k}"), 31 - i).bitwiseAND(F.expr("1L")) == 1, F.col("w")).otherwise(-F.col("w"))
-    sums = hashed.groupBy(key).agg(*[F.sum(bit(k, i)).alias(f"s{k}_{i}") for k in range(4) for i in range(32)])
-    word = lambda k: sum((F.when(F.col(f"s{k}_{i}") >= 0, F.lit(1 << (31 - i))).otherwise(F.lit(0)).cast("long") for i in range(32)), F.lit(0).cast("long"))
-    return sums.select(key, *[word(k).alias(f"w{k}") for k in range(4)])
+    words; no tokens, no row.  ``most`` tokens are read (a value of the method).  No shuffle."""
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, F.slice(F.col(tokens), 1, most).alias("tokens")).mapInArrow(_simhash128, f"`{key}` {kind}, w0 long, w1 long, w2 long, w3 long")

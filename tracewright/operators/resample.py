@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order, word32
@@ -18,6 +18,41 @@ def bootstrap(stats: DataFrame, stratum: str, value: str, replicates: int, seed:
     return draws.join(placed.select(stratum, "slot", value), [stratum, "slot"]).groupBy("replicate").agg(F.avg(value).alias("mean"))
 
 
+def cluster_sums(stats: DataFrame, cluster: str, values: list[str]) -> DataFrame:
+    """A row a cluster: its sums, its units and its place in the order of the clusters."""
+    sums = stats.groupBy(cluster).agg(*[F.sum(v).alias(v) for v in values], F.count(F.lit(1)).alias("units"))
+    return sums.withColumns({"slot": F.row_number().over(Window.orderBy(cluster)) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy())})  # a project list
+
+
+def cluster_draws(sums: DataFrame, replicates: int, seed: str = "0") -> DataFrame:
+    """Clusters drawn with replacement, as many as there are, in each replicate: sums' rows by replicate."""
+    draws = sums.select("slot", "n").join(sums.sparkSession.range(replicates).withColumnRenamed("id", "replicate"))
+    drawn = F.pmod(word32(F.sha2(F.concat_ws("|", F.lit(seed), F.col("replicate"), F.col("slot")), 256)), F.col("n"))
+    return draws.select("replicate", drawn.cast("int").alias("slot")).join(sums.drop("n"), "slot")
+
+
+def cluster_bootstrap(stats: DataFrame, cluster: str, value: str, replicates: int, seed: str = "0") -> DataFrame:
+    """(replicate, mean): whole clusters are drawn, each bringing all of its units, from sums a cluster."""
+    drawn = cluster_draws(cluster_sums(stats, cluster, [value]), replicates, seed)
+    return drawn.groupBy("replicate").agg((F.sum(value) / F.sum("units")).alias("mean"))
+
+
+def anchor(name: Column, clusters: Column) -> Column:
+    """One of the clusters (an array), fixed by the name: the first 64 bits of its hash modulo their number."""
+    n, hex_ = F.size(clusters).cast("long"), F.sha2(name, 256)
+    high, low = F.pmod(word32(hex_), n), F.pmod(word32(hex_, 1), n)
+    index = F.pmod(high * F.pmod(F.lit(1 << 32), n) + low, n)
+    return F.element_at(F.sort_array(clusters), (index + 1).cast("int"))
+
+
+def stability(parts: DataFrame, limit: float) -> DataFrame:
+    """Of ``leave_one_out`` rows: the largest absolute change, the source that makes it, and whether all
+    changes are within ``limit``."""
+    change = F.col("mean") - F.col("whole")
+    largest = F.max(F.struct(F.abs(change).alias("size"), change.alias("change"), F.col("source")))
+    return parts.agg(largest.alias("m")).select(F.col("m.size").alias("max_abs_delta"), F.col("m.change").alias("signed_delta"), F.col("m.source").alias("most_influential"), (F.col("m.size") <= limit).alias("stable"))
+
+
 def interval(means: DataFrame, column: str = "mean") -> DataFrame:
     return means.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.percentile(column, 0.025).alias("low"), F.percentile(column, 0.975).alias("high"))
 

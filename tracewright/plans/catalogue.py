@@ -216,7 +216,7 @@ SELECT query_id, node_id, parent, CAST(CAST((d_w0 + d_w1) / 2 AS FLOAT) AS DOUBL
 )
 def _(t):
     short = retrieve.shortlist(nodes(t), gallery(t), ["w0", "w1"], "BALANCED")
-    return distance.fused(minima(t).join(short, ["query_id", "parent"]), DISTANCES).select("query_id", "node_id", "parent", "fused", "regret")
+    return distance.fused(distance.listed_minima(nodes(t), gallery(t), short, WORDS), DISTANCES).select("query_id", "node_id", "parent", "fused", "regret")
 
 
 @query("independent_assignment", f"WITH {_TABLE} SELECT query_id, node_id, arg_min(parent, (round(cost, 9), parent)) FILTER (eligible) AS parent FROM tab GROUP BY ALL")
@@ -544,9 +544,14 @@ def _(t, replicates=200):
     return rounded(resample.interval(resample.bootstrap(stats(t), "stratum", "value", replicates)), "mean", "std", "low", "high")
 
 
-@query("cluster_bootstrap_ci", f"WITH {_STATS}, {_DRAWS.format(s='source')} {_CI}", full={"replicates": REPLICATES})
-def _(t, replicates=200):
-    return rounded(resample.interval(resample.bootstrap(stats(t), "source", "value", replicates)), "mean", "std", "low", "high")
+@query(
+    "cluster_bootstrap_ci",
+    f"""WITH {_STATS}, c AS (SELECT source, sum(value) AS s, count(*) AS m, row_number() OVER (ORDER BY source) - 1 AS slot, count(*) OVER () AS n FROM st GROUP BY source),
+dr AS (SELECT replicate, CAST('0x' || substr(sha256('0|' || replicate || '|' || slot), 1, 8) AS BIGINT) % n AS slot FROM c CROSS JOIN range({REPLICATES}) r(replicate)),
+bs AS (SELECT replicate, sum(s) / sum(m) AS mean FROM dr JOIN c USING (slot) GROUP BY replicate) {_CI}""",
+)
+def _(t):
+    return rounded(resample.interval(resample.cluster_bootstrap(stats(t), "source", "value", REPLICATES)), "mean", "std", "low", "high")
 
 
 @query("leave_one_source_out", f"WITH {_STATS}, w AS (SELECT sum(value) AS s, count(*) AS n FROM st), p AS (SELECT source, sum(value) AS sp, count(*) AS np FROM st GROUP BY 1) SELECT source, round((s - sp) / (n - np), 9) AS mean, round(s / n, 9) AS whole FROM p CROSS JOIN w")
