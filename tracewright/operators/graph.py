@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_order
@@ -15,15 +15,18 @@ def canonical(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, component): the least node reachable.  Labels spread to neighbours, jump to their label's
-    label and hook the label's own node to what its members hear, until none changes; each round's table is checkpointed, so lineage stays short and a lost executor costs one round."""
-    spark = edges.sparkSession
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if own is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def _checkpoints(spark: SparkSession) -> None:
+    """Where lineage is cut: ``spark.checkpoint.dir``, or on one machine a folder of its own."""
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tracewright-checkpoints"))
+
+
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): the least node reachable.  Labels spread to neighbours, jump to their label's
+    label and hook the label's own node to what its members hear, until none changes; each round's table is checkpointed, so lineage stays short and a lost executor costs one round."""
+    _checkpoints(edges.sparkSession)
     both = canonical(edges)
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node").checkpoint()
@@ -66,14 +69,17 @@ def unique_resolve(references: DataFrame, targets: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     """(graph, node, steps, before): the least number of steps from each graph's start, up to ``most``, and
     the least node before it on such a path.  ``edges`` (graph, a, b) go both ways; one join a step, of the
-    last step's front only."""
-    both = edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    last step's front only; what is known is checkpointed."""
+    _checkpoints(edges.sparkSession)
+    both = edges.select("graph", "a", "b").unionByName(edges.select("graph", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     none = F.lit(None).cast(starts.schema["node"].dataType)
     known = starts.select("graph", "node", F.lit(0).alias("steps"), none.alias("before"))
-    front = known
+    front = known = known.checkpoint()
     for step in range(1, most + 1):
         near = front.select("graph", F.col("node").alias("a")).join(both, ["graph", "a"]).groupBy("graph", F.col("b").alias("node")).agg(F.min("a").alias("before"))
-        front = near.join(known.select("graph", "node"), ["graph", "node"], "left_anti").select("graph", "node", F.lit(step).alias("steps"), "before")
+        front = near.join(known.select("graph", "node"), ["graph", "node"], "left_anti").select("graph", "node", F.lit(step).alias("steps"), "before").checkpoint()
+        if front.isEmpty():
+            break
         known = known.unionByName(front)
     return known
 
@@ -83,11 +89,11 @@ def grown(edges: DataFrame, anchors: DataFrame, hard: DataFrame, size: int, most
     ``size`` with it, and the connectors on their paths to the anchor.  (graph, node, role)"""
     reached = distances(edges, anchors, most)
     place = F.row_number().over(Window.partitionBy("graph").orderBy("steps", "node"))
-    picked = reached.join(hard.select("graph", "node"), ["graph", "node"], "left_semi").where("steps > 0").withColumn("place", place).where(F.col("place") < size).drop("place")
+    picked = reached.join(hard.select("graph", "node"), ["graph", "node"], "left_semi").where("steps > 0").withColumn("place", place).where(F.col("place") < size).drop("place").checkpoint()
     roles = anchors.select("graph", "node", F.lit("ANCHOR").alias("role")).unionByName(picked.select("graph", "node", F.lit("HARD").alias("role")))
     way = picked
     for _ in range(most - 1):
-        way = way.select("graph", F.col("before").alias("node")).distinct().join(reached, ["graph", "node"]).where("steps > 0")
+        way = way.select("graph", F.col("before").alias("node")).distinct().join(reached, ["graph", "node"]).where("steps > 0").checkpoint()
         roles = roles.unionByName(way.select("graph", "node", F.lit("CONNECTOR").alias("role")))
     return roles.groupBy("graph", "node").agg(F.min("role").alias("as_one"), F.min(F.when(F.col("role") != "CONNECTOR", F.col("role"))).alias("own")).select("graph", "node", F.coalesce("own", "as_one").alias("role"))
 
