@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import Method
@@ -18,36 +16,41 @@ def independent(table: DataFrame) -> DataFrame:
     return table.groupBy("query_id", "node_id").agg(best.alias("best")).select("query_id", "node_id", F.col("best.parent").alias("parent"))
 
 
-def _subsets(size: int, most: int) -> list[tuple[int, ...]]:
-    """All sets of at most ``most`` (three) ranks of a pool, in the order of their size and ranks."""
-    return [c for k in range(most + 1) for c in itertools.combinations(range(1, size + 1), k)]
+def _subsets(n: Column, most: int) -> Column:
+    """All sets of at most ``most`` (three) of the ranks 1 to n, as structs (k, r1, r2, r3); -1: none."""
+    ranks = F.sequence(F.lit(1), n)
+    later = lambda r: F.filter(ranks, lambda x: x > r)
+    none = F.lit(-1)
+    of = lambda *rs: F.struct(F.lit(len(rs)).alias("k"), *[r.alias(f"r{i + 1}") for i, r in enumerate((*rs, none, none, none)[:3])])
+    sets = [F.array(of()), F.transform(ranks, lambda i: of(i)), F.flatten(F.transform(ranks, lambda i: F.transform(later(i), lambda j: of(i, j))))]
+    sets.append(F.flatten(F.transform(ranks, lambda i: F.flatten(F.transform(later(i), lambda j: F.transform(later(j), lambda k: of(i, j, k)))))))
+    return F.concat(*sets[: most + 1])
 
 
 def solve(table: DataFrame, pool: DataFrame, method: Method, by_size: bool = False) -> DataFrame:
     """The parent set of least assignment cost plus penalty for each parent; a node without an eligible
     parent of cost at most 1 costs 1.  ``by_size`` keeps the best set of each size.
 
-    A query's costs by rank in its pool are one row, in which the sets are enumerated: no join on sets.
+    A query's costs by rank in its pool, whatever its size, are one row, in which the sets are enumerated:
+    no join on sets.
     """
-    usable = F.when(F.col("eligible") & (F.col("cost") <= 1), F.col("cost"))
     ranked = table.join(pool.select("query_id", "parent", "rank"), ["query_id", "parent"], "left")
-    # costs[r - 1] of each rank, then 1 for a place of the set that is not taken
-    at = [F.coalesce(F.min(F.when(F.col("rank") == r, usable)), F.lit(1.0)) for r in range(1, method.pool + 1)]
-    rows = ranked.groupBy("query_id", "node_id").agg(F.array(*at, F.lit(1.0)).alias("costs"))
-    rows = rows.groupBy("query_id").agg(F.collect_list("costs").alias("rows"))  # the seven of a package
-    listed = pool.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "parent"))).alias("parents"))
-    sets = _subsets(method.pool, method.most_parents)
-    none = method.pool + 1
-    struct = "named_struct('k', {}, 'r1', {}, 'r2', {}, 'r3', {})"
-    every = F.expr(f"array({', '.join(struct.format(len(c), *c, *[-1] * (3 - len(c))) for c in sets)})")
-    place = lambda r: F.when(r < 0, none).otherwise(r)
+    usable = F.when(F.col("rank").isNotNull() & F.col("eligible") & (F.col("cost") <= 1), F.struct(F.col("rank").cast("int").alias("rank"), "cost"))
+    rows = ranked.groupBy("query_id", "node_id").agg(F.collect_list(usable).alias("own"))
+    rows = rows.groupBy("query_id").agg(F.collect_list("own").alias("owns"))  # the seven of a package
+    listed = pool.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), "parent"))).alias("parents"))
+    n = F.size("parents")
+    # costs by rank, then 1 for a place of the set that is not taken
+    least = lambda own: lambda r: F.coalesce(F.array_min(F.transform(F.filter(own, lambda x: x["rank"] == r), lambda x: x["cost"])), F.lit(1.0))
+    whole = rows.join(listed, "query_id").withColumn("rows", F.transform("owns", lambda own: F.concat(F.transform(F.sequence(F.lit(1), n), least(own)), F.array(F.lit(1.0)))))
+    place = lambda r: F.when(r < 0, n + 1).otherwise(r)
     cost = lambda row, s: F.least(*[F.element_at(row, place(s[f"r{i}"])) for i in (1, 2, 3)])
     paid = lambda s: F.aggregate("rows", F.lit(0.0), lambda sum_, row: sum_ + cost(row, s))
     objective = lambda s: F.round(paid(s) + method.penalty * s["k"], 9)
-    tried = F.transform(F.filter(every, lambda s: F.greatest(s["r1"], s["r2"], s["r3"]) <= F.size("parents")), lambda s: F.struct(objective(s).alias("objective"), s["k"].alias("k"), s["r1"].alias("r1"), s["r2"].alias("r2"), s["r3"].alias("r3")))
-    whole = rows.join(listed, "query_id").withColumn("tried", tried)
+    whole = whole.withColumn("sets", _subsets(n, method.most_parents))
+    whole = whole.withColumn("tried", F.transform("sets", lambda s: F.struct(objective(s).alias("objective"), s["k"].alias("k"), s["r1"].alias("r1"), s["r2"].alias("r2"), s["r3"].alias("r3"))))
     if by_size:
-        best = F.explode(F.transform(F.sequence(F.lit(0), F.least(F.size("parents"), F.lit(method.most_parents))), lambda k: F.array_min(F.filter("tried", lambda s: s["k"] == k))))
+        best = F.explode(F.transform(F.sequence(F.lit(0), F.least(n, F.lit(method.most_parents))), lambda k: F.array_min(F.filter("tried", lambda s: s["k"] == k))))
     else:
         best = F.array_min("tried")
     parent = lambda i: F.when(F.col(f"best.r{i}") > 0, F.element_at("parents", F.col(f"best.r{i}"))).alias(f"p{i}")
