@@ -6,7 +6,7 @@ import re
 import corpus_pipeline
 from tracewright.llm import langid, pieces
 
-from .helpers import BLANKS, lower, plain_targets, similarity_components
+from .helpers import BLANKS, hard, lower, plain_targets, similarity_components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -48,3 +48,16 @@ def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_stages_on_hard_rows_and_none(spark):
+    docs = hard(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SMALL).columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SMALL).count() == 0
+    kept = [r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SMALL).collect()]
+    assert not {1, 2, 3, 11} & set(kept)  # null, empty, blanks, no letter
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, SMALL).collect() if r["doc_id"] in (4, 5)) == [5]

@@ -209,7 +209,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED
 
 
 def repeat_to_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (0 to 2 times), all columns kept."""
+    """The rows of ``docs``, each as often as the mix takes it (0 to 2 times), all columns kept, whatever
+    their names.  Null texts and texts without a word are never taken; rows that repeat doc_id, source and
+    text are taken alike; the order among equal lengths is the seeded hash's."""
     store.prepare(docs.sparkSession)
     plans = plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), weights, share, seed)
     key, size, order, times, cut, copy = store.unused(docs, "key", "size", "order", "times", "cut", "copy")
