@@ -92,3 +92,22 @@ def votes(table: DataFrame) -> DataFrame:
         F.sum(1 / F.col("place")).alias("reciprocal"),
         F.sum((F.col("row") - 1) / F.greatest(F.col("n") - 1, F.lit(1))).alias("normalised"),
     )
+
+
+def by_component(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, node_id, component, parent): each component of ``labels`` (query_id, node_id, component)
+    takes the parent of least summed regret among those that all its nodes with evidence know, ties by
+    parent; null where there is none.  A ``table`` of some parents only holds the choice to them."""
+    best = F.min("fused").over(Window.partitionBy("query_id", "node_id"))
+    rows = table.select("query_id", "node_id", "parent", (F.col("fused") - best).alias("regret")).join(labels, ["query_id", "node_id"])
+    nodes = rows.groupBy("query_id", "component").agg(F.countDistinct("node_id").alias("nodes"))
+    costs = rows.groupBy("query_id", "component", "parent").agg(F.count(F.lit(1)).alias("known"), F.round(F.sum("regret"), 9).alias("cost"))
+    whole = costs.join(nodes, ["query_id", "component"]).where("known = nodes")
+    chosen = whole.groupBy("query_id", "component").agg(F.min_by("parent", F.struct("cost", "parent")).alias("parent"))
+    return rows.select("query_id", "node_id", "component").distinct().join(chosen, ["query_id", "component"], "left").select("query_id", "node_id", "component", "parent")
+
+
+def within(table: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose parent is in its query's set (p1, p2, p3)."""
+    members = sets.select("query_id", F.explode(F.array_compact(F.array("p1", "p2", "p3"))).alias("parent"))
+    return table.join(members, ["query_id", "parent"], "left_semi")

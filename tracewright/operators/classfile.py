@@ -97,6 +97,16 @@ def _pool(b: _Bytes) -> tuple[dict[int, str], list[int]]:
     return texts, classes
 
 
+def constants(data: bytes) -> tuple[list[str], list[str]]:
+    """Texts and class names of the constant pool."""
+    b = _Bytes(data)
+    if b.number(4) != MAGIC:
+        raise ValueError("not a class file")
+    b.take(4)
+    texts, classes = _pool(b)
+    return list(texts.values()), [texts[i] for i in classes if i in texts]
+
+
 def parse(data: bytes) -> dict:
     """Version, names, fields and methods (flags, stack, locals, opcodes) of one class."""
     b = _Bytes(data)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import os
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +126,36 @@ def release_statistics(labels: DataFrame, hard: DataFrame) -> DataFrame:
     largest = F.max_by(F.struct("size", "hard"), F.struct("size", -F.col("component")))
     out = sizes.groupBy("graph").agg(F.sum("size").alias("nodes"), F.count(F.lit(1)).alias("components"), F.sum("hard").alias("hard"), largest.alias("l"))
     return out.select("graph", "nodes", "components", (F.col("l.size") / F.col("nodes")).alias("largest_rate"), F.when(F.col("hard") > 0, F.col("l.hard") / F.col("hard")).otherwise(0.0).alias("hard_coverage"))
+
+
+#: Fixed value: the seed of the published benchmark's orders.
+CONNECT_SEED = "20260812"
+
+
+def bridging(graph: str, components: list[list[str]], seed: str = CONNECT_SEED) -> list[tuple[str, str]]:
+    """Edges that make one component of ``components`` (lists of names): the two whose digests come first are
+    joined by their first nodes, the union takes its own place among the rest, until one is left."""
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    order = lambda node: (digest(f"{seed}|{graph}|component-node-order|{node}"), node)
+    entry = lambda nodes, first: (digest(f"{graph}|{'|'.join(nodes)}"), first, nodes)
+    heap, out = [entry(sorted(c), min(map(order, c))) for c in components], []
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        _, a, one = heapq.heappop(heap)
+        _, b, two = heapq.heappop(heap)
+        out.append((min(a[1], b[1]), max(a[1], b[1])))
+        heapq.heappush(heap, entry(sorted(one + two), min(a, b)))
+    return out
+
+
+def connected(labels: DataFrame, seed: str = CONNECT_SEED) -> DataFrame:
+    """Edges (graph, a, b; names as strings) that connect each graph's components (graph, node, component),
+    by ``bridging``.  A graph is one query package or release; its nodes are read by one task."""
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        graph = rows["graph"].iloc[0]
+        sides = rows.groupby("component")["node"].apply(list).tolist()
+        return pd.DataFrame([(graph, a, b) for a, b in bridging(str(graph), sides, seed)], columns=["graph", "a", "b"])
+
+    named = labels.select("graph", F.col("node").cast("string").alias("node"), F.col("component").cast("string").alias("component"))
+    return named.groupBy("graph").applyInPandas(each, f"graph {labels.schema['graph'].dataType.simpleString()}, a string, b string")

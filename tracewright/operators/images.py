@@ -5,6 +5,7 @@ is assumed)."""
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -51,11 +52,11 @@ def _unfiltered(data: bytes, high: int, stride: int, step: int) -> np.ndarray:
     return out
 
 
-def read_png(data: bytes) -> np.ndarray:
-    """Luminance of each pixel; alpha is ignored."""
+def read_rgba(data: bytes) -> np.ndarray:
+    """Red, green, blue and alpha of each pixel; a tRNS chunk gives the alpha of palettes and of one colour."""
     if data[:8] != SIGNATURE:
         raise ValueError("not PNG")
-    at, packed, palette, head = 8, [], None, None
+    at, packed, palette, clear, head = 8, [], None, b"", None
     while at + 8 <= len(data):
         n, name = struct.unpack(">I4s", data[at : at + 8])
         body = data[at + 8 : at + 8 + n]
@@ -63,6 +64,8 @@ def read_png(data: bytes) -> np.ndarray:
             head = struct.unpack(">IIBBBBB", body)
         elif name == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif name == b"tRNS":
+            clear = body
         elif name == b"IDAT":
             packed.append(body)
         at += 12 + n
@@ -74,14 +77,31 @@ def read_png(data: bytes) -> np.ndarray:
     if depth < 8:
         spread = np.unpackbits(raw, axis=1).reshape(high, -1, depth)
         raw = (spread * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2).astype(np.uint8)[:, :wide]
-        if colour == 0:
-            raw = raw * (255 // ((1 << depth) - 1))
     pixels = raw.reshape(high, wide, -1)
+    alpha = np.full((high, wide), 255, np.uint8)
     if colour == 3:
-        pixels = palette[pixels[..., 0]]
-    if pixels.shape[2] >= 3:
-        return ((pixels[..., :3].astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16).astype(np.uint8)
-    return pixels[..., 0]
+        shown = np.full(len(palette), 255, np.uint8)
+        shown[: len(clear)] = np.frombuffer(clear, np.uint8)[: len(palette)]
+        alpha, pixels = shown[pixels[..., 0]], palette[pixels[..., 0]]
+    elif colour in (4, 6):
+        alpha, pixels = pixels[..., -1], pixels[..., :-1]
+    elif clear:
+        alpha[(pixels == np.frombuffer(clear, ">u2")).all(axis=2)] = 0
+    if colour == 0 and depth < 8:
+        pixels = pixels * (255 // ((1 << depth) - 1))
+    return np.dstack([np.broadcast_to(pixels, (high, wide, 3)), alpha]).astype(np.uint8)
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """Luminance of each pixel; alpha is ignored."""
+    return ((read_rgba(data)[..., :3].astype(np.int64) @ np.array([19595, 38470, 7471]) + 0x8000) >> 16).astype(np.uint8)
+
+
+def write_rgba(pixels: np.ndarray) -> bytes:
+    """An 8-bit image with alpha, losslessly."""
+    high, wide, _ = pixels.shape
+    rows = b"".join(b"\0" + row.tobytes() for row in pixels)
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", wide, high, 8, 6, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows)) + _chunk(b"IEND", b"")
 
 
 def _weights(given: int, wanted: int) -> np.ndarray:
@@ -151,3 +171,24 @@ def _squares(levels: pd.Series) -> pd.Series:
 def gray_png(levels: Column) -> Column:
     """Square images of grey levels (an array a row), as PNG; null stays null."""
     return F.pandas_udf(_squares, "binary")(levels)
+
+
+def _again(payloads: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data in payloads:
+        try:
+            pixels = read_rgba(bytes(data))
+        except (ValueError, KeyError, TypeError, IndexError, struct.error, zlib.error):
+            rows.append((None,) * 4)
+            continue
+        png = write_rgba(pixels)
+        if not np.array_equal(read_rgba(png), pixels):
+            raise ValueError("re-encoding changed pixels")
+        rows.append((png, pixels.shape[1], pixels.shape[0], hashlib.sha256(pixels.tobytes()).hexdigest()))
+    return pd.DataFrame(rows, columns=["png", "width", "height", "pixels_sha256"])
+
+
+def reencoded(payload: Column) -> Column:
+    """Struct of the image as plain RGBA PNG, its size and the sha256 of its pixels; the new bytes are read
+    again and must give the same pixels.  Nulls where the payload cannot be read."""
+    return F.pandas_udf(_again, "struct<png:binary,width:long,height:long,pixels_sha256:string>")(payload)

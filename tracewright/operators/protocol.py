@@ -187,3 +187,38 @@ def recomposed(unknown: DataFrame, donors: DataFrame, seed: str = "0") -> DataFr
     dealt = slots.join(ranked, "query_id").where(F.pmod("slot", "n") == F.col("turn")).withColumn("nth", F.floor(F.col("slot") / F.col("n")) + 1)
     nth = F.row_number().over(Window.partitionBy("source").orderBy(hash_order(F.col("id"), seed, "donor"), "id"))
     return dealt.join(donors.withColumn("nth", nth), ["source", "nth"]).select("query_id", "node_id", "slot", "source", F.col("id").alias("donor"))
+
+
+def corrupted(edges: DataFrame, nodes: DataFrame, share: float = 0.3, seed: str = "0") -> DataFrame:
+    """(condition, query_id, node_a, node_b) under DROP30, BRIDGE and both: ``share`` of each query's edges go,
+    rounded half to even, one at least; of each two parents next in order, one node each becomes an edge.
+    Edges and nodes are drawn by hash order."""
+    own = edges.select("query_id", F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")).distinct()
+    w = Window.partitionBy("query_id")
+    place = F.row_number().over(w.orderBy(hash_order(F.concat_ws("-", "query_id", "node_a", "node_b"), seed, "drop"), "node_a", "node_b"))
+    gone = F.greatest(F.bround(F.count(F.lit(1)).over(w) * F.lit(share)), F.lit(1.0))
+    left = own.withColumns({"place": place, "gone": gone}).where("place > gone").drop("place", "gone")
+    drawn = lambda side: F.min_by("node_id", F.struct(hash_order(F.col("node_id"), seed, side), "node_id"))
+    ends = nodes.where("truth is not null").groupBy("query_id", "truth").agg(drawn("left").alias("a"), drawn("right").alias("other"))
+    ends = ends.withColumn("b", F.lead("other").over(w.orderBy("truth"))).where("b is not null")
+    bridges = ends.select("query_id", F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b"))
+    named = lambda name, rows: rows.select(F.lit(name).alias("condition"), "query_id", "node_a", "node_b")
+    return named("DROP30", left).unionByName(named("BRIDGE", own.unionByName(bridges).distinct())).unionByName(named("DROP30_BRIDGE", left.unionByName(bridges).distinct()))
+
+
+def frozen(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``files`` (name, sha) as the manifest (name, sha) has them; a file that is missing, new or changed is
+    an error."""
+    both = files.select("name", F.col("sha").alias("found")).join(manifest.select("name", F.col("sha").alias("told")), "name", "full_outer")
+    wrong = F.raise_error(F.concat(F.lit("not as frozen: "), F.col("name").cast("string"))).cast("string")
+    return both.select("name", F.when(F.col("found") == F.col("told"), F.col("found")).otherwise(wrong).alias("sha"))
+
+
+def audited(reported: DataFrame, computed: DataFrame, key: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """Reported against recomputed values (key, value): MATCH within the tolerance (null matches null),
+    DIFFERENT, UNREPORTED or UNSUPPORTED."""
+    r = reported.select(*key, F.col("value").alias("reported"), F.lit(True).alias("_r"))
+    c = computed.select(*key, F.col("value").alias("computed"), F.lit(True).alias("_c"))
+    near = F.col("reported").eqNullSafe(F.col("computed")) | (F.abs(F.col("reported") - F.col("computed")) <= tolerance)
+    status = F.when(F.col("_r").isNull(), "UNREPORTED").when(F.col("_c").isNull(), "UNSUPPORTED").when(near, "MATCH").otherwise("DIFFERENT")
+    return r.join(c, key, "full_outer").select(*key, "reported", "computed", status.alias("status"))

@@ -576,12 +576,20 @@ def edges(t: Tables, lines: str = "true") -> DataFrame:
     return t.lineitem.where(lines).select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")).distinct()
 
 
-@query("connected_components")
+_LABELLED = """e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM u GROUP BY a
+  UNION (SELECT u.a, min(c.component) FROM cc c JOIN u ON u.b = c.node JOIN recurring.cc AS own ON own.node = u.a GROUP BY u.a, own.component HAVING min(c.component) < own.component))"""
+
+
+@query("connected_components", f"WITH RECURSIVE {_LABELLED} SELECT node, component FROM cc")
 def _(t):
     return graph.connected_components(edges(t))
 
 
-@query("largest_component_rate")
+@query(
+    "largest_component_rate",
+    f"WITH RECURSIVE {_LABELLED}, s AS (SELECT component, count(*) AS size FROM cc GROUP BY 1) SELECT sum(size)::BIGINT AS nodes, count(*) AS components, max(size) AS largest, max(size) / sum(size) AS largest_rate FROM s",
+)
 def _(t):
     return graph.component_stats(graph.connected_components(edges(t)))
 

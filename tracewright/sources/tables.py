@@ -192,3 +192,12 @@ def write_json_document(spark: SparkSession, document, path: str) -> None:
 def read_json_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A JSON document (an object, or a row an element of an array)."""
     return spark.read.json(path, multiLine=True, schema=schema)
+
+
+def read_listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """(mode, type, object, path) of a source tree listing, a line an entry (``mode type object<tab>path``, as
+    ``git ls-tree -r`` prints); only paths with one of the suffixes, if any are given; other lines go."""
+    line = r"^(\d+) (\w+) ([0-9a-f]+)(?: +[-\d]+)?\t(.+)$"
+    one = lambda k: F.regexp_extract("value", line, k)
+    out = spark.read.text(path).where(F.col("value").rlike(line)).select(one(1).alias("mode"), one(2).alias("type"), one(3).alias("object"), one(4).alias("path"))
+    return out.where(F.substring_index(F.lower("path"), ".", -1).isin(*[s.lstrip(".").lower() for s in suffixes])) if suffixes else out
