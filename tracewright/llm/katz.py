@@ -12,6 +12,8 @@ distinct words, then each of its distinct bigrams, once to the shard that counts
 and gets the totals back in the same order, so no text and no table is ever joined token by token.  Shards
 hash words by themselves and bigrams by history; a history so frequent that it would fill a shard is
 dealt by both of its words, and the sums of such histories (at most ``FREQUENT``) are told to all chunks.
+Tasks follow the numbers of chunks and of shards, whatever ``spark.sql.shuffle.partitions`` says, so that
+what one task reads does not grow with the input.
 
 * null and empty text: the end token alone; words are as ``text.Words`` has them; words are compared by
   64-bit hashes; a training set without rows gives every token the unknown class;
@@ -304,10 +306,14 @@ def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CH
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
     schema = "chunk long, ids binary, present binary, held binary, lengths binary, tokens binary, words binary, trained binary, n long"
     chunks = store.written(docs.mapInArrow(lambda batches: _chunked(batches, chunk_bytes), schema), "katz-chunks")
-    tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(tokens / SHARD_TOKENS))
+    tokens, number = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(least, math.ceil(tokens / SHARD_TOKENS))
+    # twice as many partitions as keys: few keys share one
+    by_shard = lambda df: df.repartition(2 * shards, "shard").groupBy("shard")
+    by_chunk = lambda df: df.repartition(max(least, 2 * number), "chunk").groupBy("chunk")
     asked = chunks.select("chunk", "words", "trained").mapInArrow(_word_requests(shards), "chunk long, shard int, keys binary, counts binary")
-    words = store.written(asked.groupBy("shard").applyInPandas(_word_totals(shards, most), "chunk long, shard int, totals binary, numbers binary, types long, sum long, top long"), "katz-words")
+    words = store.written(by_shard(asked).applyInPandas(_word_totals(shards, most), "chunk long, shard int, totals binary, numbers binary, types long, sum long, top long"), "katz-words")
     base_n = base_v = 0
     frequent = np.zeros(most + 1, np.int64)
     for r in words.where("chunk is null").collect():  # a row a shard; ``most`` totals in all
@@ -323,14 +329,14 @@ def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CH
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.binary())], names=[*keep, "shards"])
 
     lean = chunks.mapInArrow(word_shards, "chunk long, ids binary, present binary, held binary, lengths binary, tokens binary, shards binary")
-    asked = lean.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(_requests(shards, limit, most), "chunk long, shard int, histories binary, words binary, counts binary, rare binary")
+    asked = by_chunk(lean).cogroup(by_chunk(told)).applyInPandas(_requests(shards, limit, most), "chunk long, shard int, histories binary, words binary, counts binary, rare binary")
     schema = "chunk long, shard int, totals binary, stats binary, histories binary, words binary, counts_of_counts array<long>, often array<struct<h:long,s:array<long>>>"
-    grams = store.written(asked.groupBy("shard").applyInPandas(_bigram_totals(spark.sparkContext.broadcast(frequent), limit), schema), "katz-bigrams")
+    grams = store.written(by_shard(asked).applyInPandas(_bigram_totals(spark.sparkContext.broadcast(frequent), limit), schema), "katz-bigrams")
     n = [0] * (DISCOUNTED + 1)
     for r in grams.where("chunk is null").select(F.posexplode("counts_of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
         n[r["r"]] = r["n"]
     sums = grams.where("chunk is null").select(F.inline("often")).groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_STATS)]).orderBy("h").toPandas().to_numpy(np.int64)
     often = spark.sparkContext.broadcast((sums[:, 0].copy(), sums[:, 1:].T.copy()) if len(sums) else (np.array([-1]), np.zeros((_STATS, 1), np.int64)))
     answers = told.withColumn("stats", F.lit(None).cast("binary")).unionByName(grams.where("chunk is not null").select("chunk", "shard", "totals", F.lit(None).cast("binary").alias("numbers"), "stats"))
-    result = lean.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    result = by_chunk(lean).cogroup(by_chunk(answers))
     return result.applyInPandas(_scores(shards, limit, most, discounts(n), base_n, base_v, often), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
