@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tracewright.operators import assign, graph, images, protocol, references
+from tracewright.operators import assign, disassembly, graph, images, protocol, references
 from tracewright.sources import tables
 
 
@@ -138,3 +138,31 @@ def test_listing(spark, tmp_path):
     rows = tables.read_listing(spark, str(tmp_path / "tree.txt"))
     assert [r["path"] for r in rows.collect()] == ["src/A.java", "src/b c.KT", "src"]
     assert [(r["object"], r["path"]) for r in tables.read_listing(spark, str(tmp_path / "tree.txt"), (".java", ".kt")).collect()] == [("0a1b", "src/A.java"), ("0a1c", "src/b c.KT")]
+
+
+def test_disassembly(spark):
+    listing = """Classfile A.class
+  void m(a.b.C);
+    descriptor: (La/b/C;[J)V
+    Code:
+         0: aload_0
+         1: invokeinterface #5,  1   // InterfaceMethod a/b/C.d:()V
+         6: invokedynamic #6,  0   // InvokeDynamic #0:run:()V
+        11: checkcast     #9   // class a/B
+        14: istore_2
+        16: goto          0
+        19: ldc   #2
+     Exceptions: none
+"""
+    rows = spark.createDataFrame([(1, listing), (2, "   3: iinc 1, 1\r\n"), (3, ""), (4, None)], "id long, text string")
+    got = {r["id"]: r for r in disassembly.features(rows, "id", "text").collect()}
+    ops = ["aload_0", "invokeinterface", "invokedynamic", "checkcast", "istore_2", "goto", "ldc"]
+    windows = ["OP3:" + ">".join(w) for w in zip(ops, ops[1:], ops[2:])]
+    kinds = ["LOCAL", "CALL", "DYNAMIC_CALL", "TYPE", "LOCAL", "BRANCH", "CONST"]
+    counts = ["METHOD_COUNT:1", "OP_COUNT:4-7"]
+    assert got[1]["opcode_3gram"] == windows
+    assert got[1]["opcode_struct"] == [*windows, "DESC:(LREF;[J)V", *counts, *(f"OPCOUNT:{o}:1" for o in ops)]
+    assert got[1]["opcode_context"] == [*windows, *(f"CTX:{o}:{k}" for o, k in zip(ops, kinds)), "DESC:(LREF;[J)V", *counts]
+    assert got[2]["opcode_context"] == ["OP1:iinc", "CTX:iinc:LOCAL", "METHOD_COUNT:0", "OP_COUNT:1"]
+    assert (got[3]["opcode_3gram"], got[3]["opcode_struct"]) == ([], ["METHOD_COUNT:0", "OP_COUNT:0"])
+    assert got[4]["opcode_3gram"] is None and got[4]["opcode_struct"] is None

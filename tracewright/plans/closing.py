@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import assign, graph, images, protocol, references, relabel
+from ..operators import assign, disassembly, graph, images, protocol, references, relabel
 from ..sources.tables import Tables
 from .catalogue import _SIG, _SOLVE, _TABLE, METHOD, PUBLISHED, nodes, outcome, query, rounded, table
 from .further import _labels
@@ -136,3 +136,27 @@ def _(t):
     listed = lambda texts: F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("slot") + 1).cast("int"))
     told = lambda texts: F.replace(listed(texts), F.lit("{p}"), F.col("package").cast("string"))
     return references.typed_edges(p.select("package", told(_PATHS).alias("path"), told(_BODIES).cast("binary").alias("payload")))
+
+
+_LISTING = [
+    ("aload_0", "", "LOCAL"), ("getfield", "#2  // Field a:I", "FIELD"), ("ifeq", "12", "BRANCH"), ("ldc", "#3  // String x", "STRING_CONST"), ("aload_0", "", "LOCAL"),
+    ("invokevirtual", "#7  // Method a/b.c:()V", "CALL"), ("bipush", "7", "CONST"), ("new", "", "TYPE_OP"), ("ldc2_w", "#9  // long 5l", "NUM_CONST"), ("return", "", "NONE"),
+]
+_OPS, _KINDS = ("[" + ", ".join(f"'{x}'" for x in xs) + "]" for xs in ([o for o, _, _ in _LISTING], [f"CTX:{o}:{k}" for o, _, k in _LISTING]))
+_MAGNITUDE = "CASE WHEN {n} <= 0 THEN '0' WHEN {n} = 1 THEN '1' WHEN {n} <= 3 THEN '2-3' WHEN {n} <= 7 THEN '4-7' ELSE '8-15' END"
+
+
+@query(
+    "disassembly_features",
+    f"""WITH k AS (SELECT page_id, page_id % 11 AS n, page_id % 3 AS m, {_OPS}[1:page_id % 11] AS ops, {_KINDS}[1:page_id % 11] AS ctx FROM pages),
+w AS (SELECT *, CASE WHEN n >= 3 THEN list_transform(range(1, n - 1), lambda i: 'OP3:' || ops[i] || '>' || ops[i + 1] || '>' || ops[i + 2]) ELSE list_transform(ops, lambda x: 'OP1:' || x) END AS w3,
+  list_transform(range(m), lambda i: 'DESC:(LREF;I)LREF;') AS d, ['METHOD_COUNT:' || {_MAGNITUDE.format(n='m')}, 'OP_COUNT:' || {_MAGNITUDE.format(n='n')}] AS counts,
+  list_transform(list_filter(ops, lambda x, i: list_position(ops, x) = i), lambda x: 'OPCOUNT:' || x || ':' || {_MAGNITUDE.format(n='len(list_filter(ops, lambda y: y = x))')}) AS each_ FROM k)
+SELECT page_id, array_to_string(w3, ' ') AS opcode_3gram, array_to_string(list_concat(list_concat(list_concat(w3, d), counts), each_), ' ') AS opcode_struct, array_to_string(list_concat(list_concat(list_concat(w3, ctx), d), counts), ' ') AS opcode_context FROM w""",
+)
+def _(t):
+    lines = F.array(*[F.lit(f"      {3 * i}: {op}   {rest}") for i, (op, rest, _) in enumerate(_LISTING)])
+    shapes = F.array_repeat(F.lit("    descriptor: (La/b/C;I)Lx/Y; "), (F.col("page_id") % 3).cast("int"))
+    text = F.array_join(F.concat(F.array(F.lit("class a.b.C {")), shapes, F.array(F.lit("    Code:")), F.slice(lines, 1, (F.col("page_id") % 11).cast("int"))), "\n")
+    told = disassembly.features(t.pages.select("page_id", text.alias("text")), "page_id", "text")
+    return told.select("page_id", *[F.array_join(c, " ").alias(c) for c in told.columns[1:]])

@@ -28,7 +28,14 @@ def _(t):
     return t.events.select("event_id", s.alias("s")).select("event_id", F.col("s.kind").alias("kind"), F.array_join("s.tokens", " ").alias("tokens"))
 
 
-@query("json_structure_signature")
+@query(
+    "json_structure_signature",
+    f"""WITH s AS (SELECT event_id, ['OBJ_LEN_1', 'KEY_OTHER_LEN_1', 'INT_MAG_' || ({_bucket("v")})] AS t FROM (SELECT event_id, abs(CAST(json_extract(props, '$.k') AS BIGINT)) AS v FROM events)),
+x AS (SELECT t, k, CAST('0x' || substr(sha256(token), k * 8 + 1, 8) AS BIGINT) AS v FROM (SELECT t, unnest(list_concat(t, [array_to_string(t, '|')])) AS token FROM (SELECT DISTINCT t FROM s)) CROSS JOIN range(4) r(k)),
+b AS (SELECT t, k, i, sum(CASE WHEN (v >> (31 - i)) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM x CROSS JOIN range(32) q(i) GROUP BY ALL),
+o AS (SELECT t, k, CAST(sum(CASE WHEN s >= 0 THEN CAST(1 AS BIGINT) << (31 - i) ELSE 0 END) AS BIGINT) AS v FROM b GROUP BY ALL)
+SELECT event_id, 'JSON' AS kind, 3::BIGINT AS token_count, max(v) FILTER (k = 0) AS w0, max(v) FILTER (k = 1) AS w1, max(v) FILTER (k = 2) AS w2, max(v) FILTER (k = 3) AS w3 FROM s JOIN o USING (t) GROUP BY event_id""",
+)
 def _(t):
     return structure.signatures(t.events, "event_id", "props")
 
