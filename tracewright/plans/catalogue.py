@@ -15,7 +15,8 @@ from ..sources.tables import Tables
 QUERIES: dict = {}
 ORACLES: dict = {}
 METHOD = Method()
-#: As published.  The SQL states the smaller sizes, so queries of these sizes have names of their own and no SQL.
+#: As published.  The SQL states the smaller sizes, so queries of these sizes have names of their own; theirs
+#: is the same SQL with the whole pool and all lines (none for bootstraps, whose draws are too many for it).
 PUBLISHED, REPLICATES = replace(METHOD, pool=POOL), 10_000
 WORDS = {"w0": 32, "w1": 32}
 DISTANCES = ["d_w0", "d_w1"]
@@ -35,6 +36,10 @@ def query(name: str, oracle: str | None = None, full: dict | None = None):
         named(name)
         if full:
             named(f"{name}_full", **full)
+            told = {"method": (f"parent) AS rank FROM score) WHERE rank <= {METHOD.pool})", f"parent) AS rank FROM score) WHERE rank <= {POOL})"), "lines": ("WHERE l_quantity = 1", "WHERE true")}
+            for argument in set(full) & set(told):
+                if oracle and told[argument][0] in oracle:
+                    ORACLES[f"{name}_full"] = oracle.replace(*told[argument])
         if oracle:
             ORACLES[name] = oracle
         return f
