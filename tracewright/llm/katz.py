@@ -1,15 +1,18 @@
-"""LM scoring by Katz backoff over word bigrams.
+"""LM scoring by Katz backoff over word n-grams (``order``, bigrams unless told otherwise).
 
 Counts are discounted by Good-Turing (counts up to ``DISCOUNTED``); the backoff weight of each history is
 the mass left by the discounts over the mass that the lower order gives to words not seen after it, so
 every conditional distribution sums to one exactly.  The lowest order is the smoothed unigram
 distribution over the training vocabulary and one class of unknown words.  A text's score is the sum of
-log10 probabilities of its tokens, evaluated recursively: seen bigram, else backoff weight times unigram;
-the first token's history is the beginning of the text, and a history without counts backs off freely.
+log10 probabilities of its tokens, evaluated recursively: seen n-gram, else backoff weight times the next
+lower order; the first token's history is the beginning of the text, tokens too near it for an order take
+the highest one that their history fills, and a history without counts backs off freely.
 
 Tables stay distributed.  A chunk is some megabytes of neighbouring documents; it sends each of its
 distinct words, then each of its distinct bigrams, once to the shard that counts them (sorted, packed),
-and gets the totals back in the same order, so no text and no table is ever joined token by token.  Shards
+and gets the totals back in the same order, so no text and no table is ever joined token by token.  Each
+higher order is one more round of the same kind: its histories are the numbers that the shards of the order
+below gave their n-grams, and each n-gram brings its probability in that order.  Shards
 hash words by themselves and bigrams by history; a history so frequent that it would fill a shard is
 dealt by both of its words, and the sums of such histories (at most ``FREQUENT``) are told to all chunks.
 Tasks follow the numbers of chunks and of shards, whatever ``spark.sql.shuffle.partitions`` says, so that
@@ -152,6 +155,7 @@ class _Chunk:
         order = np.argsort(number, kind="stable")
         rank = np.empty(len(number), np.int64)
         rank[order] = np.arange(len(number))
+        self.rank, self.numbers = rank, number[order]
         before = np.concatenate(([-1], rank[self.tokens[:-1]]))
         before[np.cumsum(self.lengths)[:-1]] = -1
         keys, self.place = np.unique((before + 1) * len(number) + rank[self.tokens], return_inverse=True)
@@ -165,6 +169,27 @@ class _Chunk:
         self.shard = ((mixed ^ (mixed >> 15)) & 0x7FFFFFFF) % shards
 
 
+class _Level:
+    """A chunk's distinct n-grams of a higher order, from those of the order below: ``place`` of each token
+    (-1: none), ``low``, the log10 probability below, and ``split``, whether a history is dealt by its words."""
+
+    def __init__(self, chunk: _Chunk, order: int, place: np.ndarray, number: np.ndarray, count: np.ndarray, value: np.ndarray, shards: int, limit: int):
+        first = np.repeat(np.cumsum(chunk.lengths) - chunk.lengths, chunk.lengths)
+        at = np.flatnonzero(np.arange(len(first)) - first >= order - 2)
+        before = place[at - 1]
+        ids, of = np.unique(number[before], return_inverse=True)
+        keys, own = np.unique(of * len(chunk.numbers) + chunk.rank[chunk.tokens[at]], return_inverse=True)
+        self.place = np.full(len(place), -1, np.int64)
+        self.place[at] = own
+        self.history, self.word = ids[keys // len(chunk.numbers)], chunk.numbers[keys % len(chunk.numbers)]
+        self.count = np.bincount(own, np.repeat(~chunk.held, chunk.lengths)[at], len(keys)).astype(np.int64)
+        self.low, often = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        self.low[own], often[own] = value[place[at]], count[before]
+        self.split = often >= limit
+        mixed = self.history * 0x9E3779B1 + np.where(self.split, self.word * 0x85EBCA77, 0)
+        self.shard = ((mixed ^ (mixed >> 15)) & 0x7FFFFFFF) % shards
+
+
 def _requests(shards: int, limit: int, most: int):
     """Of one chunk: its bigrams, to the shards that count them."""
 
@@ -185,42 +210,57 @@ def _requests(shards: int, limit: int, most: int):
 _STATS = DISCOUNTED + 2  # tokens after a history, words that follow it 1, 2, ... times, and their mass
 
 
-def _bigram_totals(frequent, limit: int):
-    """Of one shard: for every chunk its bigrams' totals and, for each of its histories, what follows in
-    training; and one row with the shard's table of counts."""
+_TOTALS = "chunk long, shard int, totals binary, stats binary, grams binary, histories binary, words binary, counts_of_counts array<long>, often array<struct<h:long,s:array<double>>>"
+
+
+def _gram_totals(shards: int, frequent, limit: int, order: int, last: bool):
+    """Of one shard: for every chunk its n-grams' totals, their numbers unless this order is the last and,
+    for each of its histories, what follows in training; and one row with the shard's table of counts."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        shard, top = int(group["shard"].iloc[0]), frequent.value
-        most = len(top) - 1
+        shard = int(group["shard"].iloc[0])
         h, w = ([unpack(x) for x in group[k]] for k in ("histories", "words"))
-        totals = []
-        for words, rare in zip(w, group["rare"]):
-            t = top[np.minimum(words, most)]
-            t[words > most] = unpack(rare)
-            totals.append(t)
+        if order == 2:
+            top = frequent.value
+            most = len(top) - 1
+            totals = []
+            for words, rare in zip(w, group["rare"]):
+                t = top[np.minimum(words, most)]
+                t[words > most] = unpack(rare)
+                totals.append(2 * t + 1)
+        else:
+            totals = [10.0 ** np.frombuffer(zstandard.decompress(x)) for x in group["low"]]
         hh, ww = np.concatenate(h), np.concatenate(w)
-        order = np.lexsort((ww, hh))
-        hs, ws = hh[order], ww[order]
+        by = np.lexsort((ww, hh))
+        hs, ws = hh[by], ww[by]
         new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])))
         place = np.empty(len(hh), np.int64)
-        place[order] = np.cumsum(new) - 1
+        place[by] = np.cumsum(new) - 1
         hs, ws = hs[new], ws[new]
         total = np.bincount(place, np.concatenate([unpack(c) for c in group["counts"]]), len(hs)).astype(np.int64)
-        mass = np.where(total > 0, 2 * np.concatenate(totals)[order][new] + 1, 0)
-        del hh, ww, order, totals
+        mass = np.where(total > 0, np.concatenate(totals)[by][new], 0)
         histories, of = np.unique(hs, return_inverse=True)
-        add = lambda x: np.bincount(of, x, len(histories)).astype(np.int64)  # noqa: E731  exact below 2**53
+        if order == 2:
+            part = (histories == BEGIN) | ((histories <= most) & (top[np.minimum(histories, most)] >= limit))
+        else:
+            part = np.zeros(len(histories), bool)
+            part[of] = np.concatenate([unpack(x) for x in group["split"]])[by][new] == 1
+        del hh, ww, by, totals
+        add = lambda x: np.bincount(of, x, len(histories))  # noqa: E731  counts are exact below 2**53
         stats = np.stack([add(total), *(add(total == r) for r in range(1, DISCOUNTED + 1)), add(mass)])
+        packed = stats.astype(np.int64)
+        if order > 2:
+            packed[-1] = stats[-1].view(np.int64)
         rows = []
         for chunk, own, at in zip(group["chunk"], h, np.split(place, np.cumsum([len(x) for x in h])[:-1])):
             i = np.searchsorted(histories, own[np.concatenate(([True], own[1:] != own[:-1]))])
-            rows.append((chunk, shard, pack(total[at]), b"".join(len(x).to_bytes(4, "big") + x for x in map(pack, stats[:, i])), None, None, None, None))
+            grams = None if last else pack(at * shards + shard + 1)
+            rows.append((chunk, shard, pack(total[at]), b"".join(len(x).to_bytes(4, "big") + x for x in map(pack, packed[:, i])), grams, None, None, None, None))
         seen = total > 0
-        part = (histories == BEGIN) | ((histories <= most) & (top[np.minimum(histories, most)] >= limit))
         often = [(int(k), x) for k, x in zip(histories[part], stats[:, part].T.tolist())]
-        rows.append((None, shard, pack(total[seen]), None, pack(hs[seen]), pack(ws[seen]), [int((total == r).sum()) for r in range(1, DISCOUNTED + 2)], often))
+        rows.append((None, shard, pack(total[seen]), None, None, pack(hs[seen]), pack(ws[seen]), [int((total == r).sum()) for r in range(1, DISCOUNTED + 2)], often))
         release()
-        return pd.DataFrame(rows, columns=["chunk", "shard", "totals", "stats", "histories", "words", "counts_of_counts", "often"]).astype({"chunk": "Int64"})
+        return pd.DataFrame(rows, columns=["chunk", "shard", "totals", "stats", "grams", "histories", "words", "counts_of_counts", "often"]).astype({"chunk": "Int64"})
 
     return run
 
@@ -239,44 +279,83 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
-def _scores(shards: int, limit: int, most: int, d: np.ndarray, base_n: int, base_v: int, often):
+def _values(level, order: int, low: np.ndarray, whole: float, shards: int, grams: pd.DataFrame, d: np.ndarray, often):
+    """Totals of a chunk's n-grams, their numbers (none at the last order) and log10 probabilities."""
+    change = np.concatenate(([True], level.history[1:] != level.history[:-1]))[: len(level.history)]
+    of, histories = np.cumsum(change) - 1, level.history[change]
+    count, number = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    stats = np.zeros((_STATS, len(histories)))
+    by = np.argsort(level.shard, kind="stable")
+    begin = np.searchsorted(level.shard[by], np.arange(shards + 1))
+    for s, totals, packed, own in zip(grams["shard"], grams["totals"], grams["stats"], grams["grams"]):
+        p = by[begin[s] : begin[s + 1]]
+        count[p] = unpack(totals)
+        if own is not None:
+            number[p] = unpack(own)
+        mine, at = np.unique(of[p]), 0
+        for k in range(_STATS):
+            size = int.from_bytes(packed[at : at + 4], "big")
+            x = unpack(packed[at + 4 : at + 4 + size])
+            stats[k, mine] += x.view(np.float64) if order > 2 and k == _STATS - 1 else x
+            at += 4 + size
+    numbers, sums = often.value
+    at = np.minimum(np.searchsorted(numbers, histories), len(numbers) - 1)
+    whole_sums = numbers[at] == histories
+    stats[:, whole_sums] = sums[:, at[whole_sums]]
+    after, mass = stats[0], 0.5 * stats[-1] / whole if order == 2 else stats[-1]
+    kept = after - ((1 - d[1:])[:, None] * np.arange(1, DISCOUNTED + 1)[:, None] * stats[1:-1]).sum(0)
+    # a history whose followers are all beyond the discounted counts leaves nothing: one count is set aside
+    aside = ((after > 0) & (after - kept <= 1e-9)).astype(np.int64)
+    left = np.where(after > 0, 1 - kept / np.maximum(after + aside, 1), 1.0)
+    weight = np.log10(left) - np.log10(np.maximum(1 - mass, 1e-300))
+    value = weight[of] + low
+    seen = count > 0
+    n = count[seen]
+    value[seen] = np.log10(d[np.where(n <= DISCOUNTED, n, 0)] * n) - np.log10((after + aside)[of[seen]])
+    return count, number, value
+
+
+def _evaluated(row: pd.DataFrame, answers: pd.DataFrame, shards: int, limit: int, most: int, whole: float, orders: list):
+    """A chunk, its n-grams of the highest order answered, each token's place among them, their totals,
+    numbers and log10 probabilities, and each token's log10 probability."""
+    chunk = _Chunk(row, answers[answers["order"] == 1], shards, limit, most)
+    level, place, low = chunk, chunk.place, np.log10((chunk.word_total + 0.5) / whole)
+    out = np.zeros(len(place))
+    count = number = value = None
+    for order, (d, often) in enumerate(orders, 2):
+        if order > 2:
+            level = _Level(chunk, order, place, number, count, value, shards, limit)
+            place, low = level.place, level.low
+        count, number, value = _values(level, order, low, whole, shards, answers[answers["order"] == order], d, often)
+        out = np.where(place >= 0, value[place], out) if len(value) else out
+    return chunk, place, count, number, value, out
+
+
+def _higher_requests(shards: int, limit: int, most: int, whole: float, orders: list):
+    """Of one chunk: its n-grams of the order above ``orders``, to the shards that count them."""
+
+    def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(row):
+            chunk, place, count, number, value, _ = _evaluated(row, answers, shards, limit, most, whole, orders)
+            c = _Level(chunk, len(orders) + 2, place, number, count, value, shards, limit)
+            order = np.argsort(c.shard, kind="stable")
+            for s, p in enumerate(np.split(order, np.searchsorted(c.shard[order], np.arange(1, shards)))):
+                if len(p):
+                    rows.append((key[0], s, pack(c.history[p]), pack(c.word[p]), pack(c.count[p]), zstandard.compress(c.low[p].tobytes(), 1), pack(c.split[p])))
+        release()
+        return pd.DataFrame(rows, columns=["chunk", "shard", "histories", "words", "counts", "low", "split"])
+
+    return run
+
+
+def _scores(shards: int, limit: int, most: int, whole: float, orders: list, base_n: int):
     """Of one chunk: its documents' scores."""
-    whole = base_n + 0.5 * (base_v + 1)
 
     def run(key, row: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(row):
             return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-        c = _Chunk(row, answers[answers["numbers"].notna()], shards, limit, most)
-        grams = answers[answers["stats"].notna()]
-        count = np.zeros(len(c.history), np.int64)
-        of = np.cumsum(np.concatenate(([True], c.history[1:] != c.history[:-1]))) - 1
-        stats = np.zeros((_STATS, int(of[-1]) + 1), np.int64)
-        order = np.argsort(c.shard, kind="stable")
-        begin = np.searchsorted(c.shard[order], np.arange(shards + 1))
-        for s, totals, packed in zip(grams["shard"], grams["totals"], grams["stats"]):
-            p = order[begin[s] : begin[s + 1]]
-            count[p] = unpack(totals)
-            mine, at = np.unique(of[p]), 0
-            for k in range(_STATS):
-                size = int.from_bytes(packed[at : at + 4], "big")
-                stats[k, mine] += unpack(packed[at + 4 : at + 4 + size])
-                at += 4 + size
-        numbers, sums = often.value
-        histories = c.history[np.concatenate(([True], c.history[1:] != c.history[:-1]))]
-        at = np.minimum(np.searchsorted(numbers, histories), len(numbers) - 1)
-        whole_sums = numbers[at] == histories
-        stats[:, whole_sums] = sums[:, at[whole_sums]]
-        after, mass = stats[0], 0.5 * stats[-1] / whole
-        kept = after - ((1 - d[1:])[:, None] * np.arange(1, DISCOUNTED + 1)[:, None] * stats[1:-1]).sum(0)
-        # a history whose followers are all beyond the discounted counts leaves nothing: one count is set aside
-        aside = ((after > 0) & (after - kept <= 1e-9)).astype(np.int64)
-        left = np.where(after > 0, 1 - kept / np.maximum(after + aside, 1), 1.0)
-        weight = np.log10(left) - np.log10(np.maximum(1 - mass, 1e-300))
-        unigram = np.log10((c.word_total + 0.5) / whole)
-        seen = count > 0
-        value = weight[of] + unigram
-        n = count[seen]
-        value[seen] = np.log10(d[np.where(n <= DISCOUNTED, n, 0)] * n) - np.log10((after + aside)[of[seen]])
+        c, *_, value = _evaluated(row, answers, shards, limit, most, whole, orders)
         first = np.cumsum(c.lengths) - c.lengths
         add = lambda x: np.add.reduceat(x, first)
         ids, present = unpack(row["ids"].iloc[0]), unpack(row["present"].iloc[0]) == 1
@@ -291,16 +370,18 @@ def _scores(shards: int, limit: int, most: int, d: np.ndarray, base_n: int, base
                 "n_known": add((c.total > 0)[c.tokens].astype(np.int64)),
                 "train_tokens": base_n,
                 "base_score": add(np.log10((c.total + 0.5) / whole)[c.tokens]),
-                "score": add(value[c.place]),
+                "score": add(value),
             }
         )
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, most: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CHUNK_BYTES, most: int = FREQUENT, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``
-    (doc_id, text); rows that are ``held_out`` are scored and not learnt from."""
+    (doc_id, text); rows that are ``held_out`` are scored and not learnt from.  ``order`` is 2 or more."""
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = store.prepare(docs.sparkSession)
     held = fold(F.col("doc_id"), 5) == 1 if held_out is None else held_out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
@@ -330,13 +411,27 @@ def score(docs: DataFrame, held_out: Column | None = None, chunk_bytes: int = CH
 
     lean = chunks.mapInArrow(word_shards, "chunk long, ids binary, present binary, held binary, lengths binary, tokens binary, shards binary")
     asked = by_chunk(lean).cogroup(by_chunk(told)).applyInPandas(_requests(shards, limit, most), "chunk long, shard int, histories binary, words binary, counts binary, rare binary")
-    schema = "chunk long, shard int, totals binary, stats binary, histories binary, words binary, counts_of_counts array<long>, often array<struct<h:long,s:array<long>>>"
-    grams = store.written(by_shard(asked).applyInPandas(_bigram_totals(spark.sparkContext.broadcast(frequent), limit), schema), "katz-bigrams")
+    whole = base_n + 0.5 * (base_v + 1)
+    orders: list = []
+    answers = told.select("chunk", "shard", F.lit(1).alias("order"), "totals", "numbers", *[F.lit(None).cast("binary").alias(c) for c in ("stats", "grams")])
+    shared = spark.sparkContext.broadcast(frequent)
+    for m in range(2, order + 1):
+        if m > 2:
+            schema = "chunk long, shard int, histories binary, words binary, counts binary, low binary, split binary"
+            asked = by_chunk(lean).cogroup(by_chunk(answers)).applyInPandas(_higher_requests(shards, limit, most, whole, list(orders)), schema)
+        grams = store.written(by_shard(asked).applyInPandas(_gram_totals(shards, shared, limit, m, m == order), _TOTALS), f"katz-{m}-grams")
+        orders.append(_told(grams))
+        own = grams.where("chunk is not null").select("chunk", "shard", F.lit(m).alias("order"), "totals", F.lit(None).cast("binary").alias("numbers"), "stats", "grams")
+        answers = answers.unionByName(own)
+    result = by_chunk(lean).cogroup(by_chunk(answers))
+    return result.applyInPandas(_scores(shards, limit, most, whole, orders, base_n), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _told(grams: DataFrame):
+    """Discounts of an order, and the sums of its frequent histories, which are dealt to many shards."""
     n = [0] * (DISCOUNTED + 1)
     for r in grams.where("chunk is null").select(F.posexplode("counts_of_counts").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect():
         n[r["r"]] = r["n"]
-    sums = grams.where("chunk is null").select(F.inline("often")).groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_STATS)]).orderBy("h").toPandas().to_numpy(np.int64)
-    often = spark.sparkContext.broadcast((sums[:, 0].copy(), sums[:, 1:].T.copy()) if len(sums) else (np.array([-1]), np.zeros((_STATS, 1), np.int64)))
-    answers = told.withColumn("stats", F.lit(None).cast("binary")).unionByName(grams.where("chunk is not null").select("chunk", "shard", "totals", F.lit(None).cast("binary").alias("numbers"), "stats"))
-    result = by_chunk(lean).cogroup(by_chunk(answers))
-    return result.applyInPandas(_scores(shards, limit, most, discounts(n), base_n, base_v, often), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    sums = grams.where("chunk is null").select(F.inline("often")).groupBy("h").agg(*[F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(_STATS)]).orderBy("h").toPandas()
+    told = (sums["h"].to_numpy(np.int64), sums.drop(columns="h").to_numpy(np.float64).T.copy()) if len(sums) else (np.array([-1]), np.zeros((_STATS, 1)))
+    return discounts(n), grams.sparkSession.sparkContext.broadcast(told)
