@@ -229,7 +229,11 @@ def _gram_totals(shards: int, frequent, limit: int, order: int, last: bool):
                 t[words > most] = unpack(rare)
                 totals.append(2 * t + 1)
         else:
-            totals = [10.0 ** np.frombuffer(zstandard.decompress(x)) for x in group["low"]]
+            totals = []
+            for counts, low in zip(group["counts"], group["low"]):  # only what is counted has a mass
+                counted = unpack(counts) > 0
+                totals.append(np.zeros(len(counted)))
+                totals[-1][counted] = 10.0 ** np.frombuffer(zstandard.decompress(low))
         hh, ww = np.concatenate(h), np.concatenate(w)
         by = np.lexsort((ww, hh))
         hs, ws = hh[by], ww[by]
@@ -238,7 +242,11 @@ def _gram_totals(shards: int, frequent, limit: int, order: int, last: bool):
         place[by] = np.cumsum(new) - 1
         hs, ws = hs[new], ws[new]
         total = np.bincount(place, np.concatenate([unpack(c) for c in group["counts"]]), len(hs)).astype(np.int64)
-        mass = np.where(total > 0, np.concatenate(totals)[by][new], 0)
+        if order == 2:
+            mass = np.where(total > 0, np.concatenate(totals)[by][new], 0)
+        else:
+            mass = np.zeros(len(hs))
+            np.maximum.at(mass, place, np.concatenate(totals))
         histories, of = np.unique(hs, return_inverse=True)
         if order == 2:
             part = (histories == BEGIN) | ((histories <= most) & (top[np.minimum(histories, most)] >= limit))
@@ -249,13 +257,14 @@ def _gram_totals(shards: int, frequent, limit: int, order: int, last: bool):
         add = lambda x: np.bincount(of, x, len(histories))  # noqa: E731  counts are exact below 2**53
         stats = np.stack([add(total), *(add(total == r) for r in range(1, DISCOUNTED + 1)), add(mass)])
         packed = stats.astype(np.int64)
-        if order > 2:
-            packed[-1] = stats[-1].view(np.int64)
         rows = []
         for chunk, own, at in zip(group["chunk"], h, np.split(place, np.cumsum([len(x) for x in h])[:-1])):
             i = np.searchsorted(histories, own[np.concatenate(([True], own[1:] != own[:-1]))])
+            parts = list(packed[:, i])
+            if order > 2:  # the mass of histories that will back off
+                parts[-1] = stats[-1, np.unique(of[at[total[at] == 0]])].view(np.int64)
             grams = None if last else pack(at * shards + shard + 1)
-            rows.append((chunk, shard, pack(total[at]), b"".join(len(x).to_bytes(4, "big") + x for x in map(pack, packed[:, i])), grams, None, None, None, None))
+            rows.append((chunk, shard, pack(total[at]), b"".join(len(x).to_bytes(4, "big") + x for x in map(pack, parts)), grams, None, None, None, None))
         seen = total > 0
         often = [(int(k), x) for k, x in zip(histories[part], stats[:, part].T.tolist())]
         rows.append((None, shard, pack(total[seen]), None, None, pack(hs[seen]), pack(ws[seen]), [int((total == r).sum()) for r in range(1, DISCOUNTED + 2)], often))
@@ -296,7 +305,10 @@ def _values(level, order: int, low: np.ndarray, whole: float, shards: int, grams
         for k in range(_STATS):
             size = int.from_bytes(packed[at : at + 4], "big")
             x = unpack(packed[at + 4 : at + 4 + size])
-            stats[k, mine] += x.view(np.float64) if order > 2 and k == _STATS - 1 else x
+            if order > 2 and k == _STATS - 1:
+                stats[k, np.unique(of[p[count[p] == 0]])] += x.view(np.float64)
+            else:
+                stats[k, mine] += x
             at += 4 + size
     numbers, sums = often.value
     at = np.minimum(np.searchsorted(numbers, histories), len(numbers) - 1)
@@ -342,7 +354,7 @@ def _higher_requests(shards: int, limit: int, most: int, whole: float, orders: l
             order = np.argsort(c.shard, kind="stable")
             for s, p in enumerate(np.split(order, np.searchsorted(c.shard[order], np.arange(1, shards)))):
                 if len(p):
-                    rows.append((key[0], s, pack(c.history[p]), pack(c.word[p]), pack(c.count[p]), zstandard.compress(c.low[p].tobytes(), 1), pack(c.split[p])))
+                    rows.append((key[0], s, pack(c.history[p]), pack(c.word[p]), pack(c.count[p]), zstandard.compress(c.low[p][c.count[p] > 0].tobytes(), 1), pack(c.split[p])))
         release()
         return pd.DataFrame(rows, columns=["chunk", "shard", "histories", "words", "counts", "low", "split"])
 
