@@ -2,20 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sha import first_words
 from ..functions.text import hash_order, word32
 
 
+#: Replicates of a task, and draws hashed at once (27 arrays of them stay in a core's cache).
+REPLICATES_A_TASK, DRAWS_AT_ONCE = 64, 16384
+
+
+_TYPES = {"stratum": pa.string(), "part": pa.int32(), "number": pa.int32(), "numbers": pa.binary(), "known": pa.binary()}
+
+
+def _importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where they share the driver's folders."""
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "")  # ends in a slash: llm/store.py has an entry of its own
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
+def _packed(batches):
+    """Rows in order to arrays: of each batch, the values of each stratum, and where they are known."""
+    part = TaskContext.get().partitionId()
+    for number, batch in enumerate(batches):
+        strata = batch.column(0).dictionary_encode()
+        code, values = np.asarray(strata.indices), batch.column(1)
+        known, numbers = np.asarray(pc.is_valid(values)), np.asarray(pc.fill_null(values, 0.0), np.float64)
+        rows = [{"stratum": name, "part": part, "number": number, "numbers": numbers[code == k].tobytes(), "known": known[code == k].astype(np.uint8).tobytes()} for k, name in enumerate(strata.dictionary.to_pylist())]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(_TYPES))
+
+
+def _decimals(begin: int, end: int):
+    """(first, last + 1) of the numbers of begin to end, by their number of digits."""
+    while begin < end:
+        upto = min(end, 10 ** len(str(begin)))
+        yield begin, upto
+        begin = upto
+
+
+def _digits(numbers: np.ndarray) -> list:
+    """The ASCII digits of numbers of one length, the first digit first; of a single number as numbers."""
+    if len(numbers) == 1:
+        return list(str(numbers[0]).encode())
+    return [(numbers // 10**k % 10 + 48).astype(np.uint32) for k in reversed(range(len(str(numbers[0]))))]
+
+
+def _pieces(low: int, high: int, replicates: int):
+    """(first, last + 1, replicates at once) of the slots from low to high: as many draws at once as fit."""
+    while high - low >= DRAWS_AT_ONCE:
+        yield low, low + DRAWS_AT_ONCE, 1
+        low += DRAWS_AT_ONCE
+    if low < high:
+        size = lambda k: -(-(high - low) // k)
+        k = min(range(1, 9), key=lambda k: k * -(-replicates // (DRAWS_AT_ONCE // size(k))))
+        for at in range(low, high, size(k)):
+            yield at, min(at + size(k), high), DRAWS_AT_ONCE // size(k)
+
+
+def _drawn_slots(head: bytes, begin: int, end: int, n: int):
+    """(replicates, their draws of n slots, a row a replicate), for the replicates from begin to end, in pieces."""
+    for low, high in _decimals(0, n):
+        for at, upto, rows in _pieces(low, high, end - begin):
+            slots, each = _digits(np.arange(at, upto)), upto - at
+            for first, last in _decimals(begin, end):
+                for r in range(first, last, rows):
+                    replicates = np.arange(r, min(r + rows, last))
+                    names = [x if isinstance(x, int) else np.repeat(x, each) for x in _digits(replicates)]
+                    tails = [x if isinstance(x, int) or len(replicates) == 1 else np.tile(x, len(replicates)) for x in slots]
+                    words = first_words([*head, *names, ord("|"), *tails], len(replicates) * each)
+                    words -= words // np.uint32(n) * np.uint32(n)
+                    yield replicates, words.reshape(-1, each)
+
+
+def _means(seed: str, replicates: int):
+    """Means of a task's replicates over its copy of the arrays."""
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            for task, stratum, part, number, numbers, known in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(task, {}).setdefault(stratum, []).append((part, number, numbers, known))
+        for task, strata in held.items():
+            begin, end = task * REPLICATES_A_TASK, min((task + 1) * REPLICATES_A_TASK, replicates)
+            total, units = np.zeros(end - begin), np.zeros(end - begin, np.int64)
+            for stratum in sorted(strata):
+                parts = sorted(strata[stratum])
+                numbers = np.frombuffer(b"".join(x[2] for x in parts), np.float64)
+                known = np.frombuffer(b"".join(x[3] for x in parts), np.uint8)
+                whole = known.all()
+                for drawn, slots in _drawn_slots(f"{seed}|{stratum}|".encode(), begin, end, len(numbers)):
+                    total[drawn - begin] += numbers.take(slots).sum(axis=1)
+                    units[drawn - begin] += slots.shape[1] if whole else known.take(slots).sum(axis=1, dtype=np.int64)
+            means = [float(t / u) if u else None for t, u in zip(total, units)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(begin, end), pa.int64()), pa.array(means, pa.float64())], names=["replicate", "mean"])
+
+    return run
+
+
 def bootstrap(stats: DataFrame, stratum: str, value: str, replicates: int, seed: str = "0") -> DataFrame:
     """(replicate, mean): every stratum drawn with replacement as often as it has rows.  ``stats`` holds one
-    row of sufficient statistics a unit, so draws join small rows, never components."""
-    placed = stats.withColumns({"slot": F.row_number().over(Window.partitionBy(stratum).orderBy("query_id")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(stratum))})
-    draws = placed.select(stratum, "slot", "n").crossJoin(F.broadcast(stats.sparkSession.range(replicates).withColumnRenamed("id", "replicate")))
-    drawn = F.pmod(word32(F.sha2(F.concat_ws("|", F.lit(seed), F.col(stratum), F.col("replicate"), F.col("slot")), 256)), F.col("n"))
-    draws = draws.select(stratum, "replicate", drawn.cast("int").alias("slot"))
-    return draws.join(placed.select(stratum, "slot", value), [stratum, "slot"]).groupBy("replicate").agg(F.avg(value).alias("mean"))
+    row of sufficient statistics a unit.  A draw is the first 32 bits of the SHA-256 of seed, stratum, replicate
+    and slot, modulo the stratum's rows.  Every task has the values as arrays (8 bytes a unit, and one that tells
+    whether it is known) and draws from them for its own replicates: no draw is a row, none is shuffled."""
+    _importable(stats.sparkSession)
+    # a null stratum has no name to draw by, and meets nothing
+    units = stats.select(F.col(stratum).cast("string").alias("stratum"), "query_id", F.col(value).cast("double").alias("value")).where("stratum is not null")
+    ordered = units.repartitionByRange("stratum", "query_id", "value").sortWithinPartitions("stratum", "query_id", "value").select("stratum", "value")
+    packed = ordered.mapInArrow(_packed, "stratum string, part int, number int, numbers binary, known binary")
+    tasks = max(1, -(-replicates // REPLICATES_A_TASK))
+    copies = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "*").repartitionById(tasks, F.col("task"))
+    return copies.mapInArrow(_means(seed, replicates), "replicate long, mean double")
 
 
 def cluster_sums(stats: DataFrame, cluster: str, values: list[str]) -> DataFrame:
