@@ -6,9 +6,12 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from tracewright.functions.sha import first_words
 from tracewright.operators import resample
 
+from .conftest import SMALL
+
 STRATA = "query_id long, stratum string, value double"
 
 
@@ -60,3 +63,18 @@ def test_draws_are_not_rows(spark):
     assert means.rdd.getNumPartitions() == -(-1_000 // resample.REPLICATES_A_TASK)
     assert "Join" not in means._jdf.queryExecution().optimizedPlan().toString()
     assert means.count() == 1_000
+
+
+def test_full_paired_bootstrap(spark):
+    """All 10,000 replicates, by plain loops; the one join is that of labels with documents."""
+    rows = spark.read.parquet(f"{SMALL}/labels.parquet").join(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id").orderBy("doc_id").collect()
+    strata = defaultdict(list)
+    for r in rows:
+        strata[r["lang"]].append(r["quality"] - r["toxic"])
+    means = np.array([sum(v[draw(0, g, r, slot, n=len(v))] for g, v in strata.items() for slot in range(len(v))) for r in range(10_000)]) / len(rows)
+    frame = entry.queries()["paired_bootstrap_full"](spark, SMALL)
+    (got,) = frame.collect()
+    low, high = np.percentile(means, [2.5, 97.5])
+    assert (got["delta"], got["low"], got["high"]) == tuple(pytest.approx(x, abs=2e-9) for x in (means.mean(), low, high))
+    assert (got["p_above"], got["p_not_below"], got["direction"]) == ((means > 0).mean(), (means >= 0).mean(), "BETTER" if low > 0 else "WORSE" if high < 0 else "UNDECIDED")
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
