@@ -65,6 +65,22 @@ def test_draws_are_not_rows(spark):
     assert means.count() == 1_000
 
 
+@pytest.mark.parametrize("seed", ["0", "5|é"])
+def test_draws_in_the_jvm(spark, monkeypatch, seed):
+    """The JVM's draws, from a package's jar, are those of the Python workers, in strata of many batches and long names."""
+    name = "element_at(array('en', '', '日本', repeat('b', 80)), CASE WHEN id < 20011 THEN 1 ELSE 2 + CAST(id % 3 AS INT) END)"
+    frame = spark.range(30_011).selectExpr("id AS query_id", f"{name} AS stratum", "IF(id % 7 = 0, NULL, pmod(hash(id), 1000) / 8D) AS value")
+    found = []
+    for jvm in (True, False):
+        if not jvm:
+            monkeypatch.setattr(resample, "_in_jvm", lambda spark: False)
+        means = resample.bootstrap(frame, "stratum", "value", 70, seed)
+        plan = means._jdf.queryExecution().optimizedPlan().toString()
+        assert ("tracewright_replicate_means" in plan, plan.count("MapInArrow")) == ((True, 1) if jvm else (False, 2))
+        found.append(dict(map(tuple, means.collect())))
+    assert found[0] == pytest.approx(found[1], rel=1e-12) and sorted(found[0]) == list(range(70))
+
+
 def test_full_paired_bootstrap(spark):
     """All 10,000 replicates, by plain loops; the one join is that of labels with documents."""
     rows = spark.read.parquet(f"{SMALL}/labels.parquet").join(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id").orderBy("doc_id").collect()

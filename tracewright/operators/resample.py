@@ -7,7 +7,9 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,19 +110,43 @@ def _means(seed: str, replicates: int):
     return run
 
 
+#: What ReplicateMeans is called in a session.
+_JVM_MEANS = "tracewright_replicate_means"
+
+
+def _in_jvm(spark: SparkSession) -> bool:
+    """Whether the session has java/ReplicateMeans.java, whose jar it takes at the first bootstrap; executors get it
+    from the driver.  A session that takes no jar draws in Python workers, to the same result."""
+    if not spark.catalog.functionExists(_JVM_MEANS):
+        jar = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "java", "resample.jar")
+        try:
+            spark.sql(f"ADD JAR '{jar}'")
+            spark.udf.registerJavaFunction(_JVM_MEANS, "tracewright.ReplicateMeans", "array<double>")
+        except (PySparkException, Py4JError):
+            return False
+    return True
+
+
 def bootstrap(stats: DataFrame, stratum: str, value: str, replicates: int, seed: str = "0") -> DataFrame:
     """(replicate, mean): every stratum drawn with replacement as often as it has rows.  ``stats`` holds one
     row of sufficient statistics a unit.  A draw is the first 32 bits of the SHA-256 of seed, stratum, replicate
     and slot, modulo the stratum's rows.  Every task has the values as arrays (8 bytes a unit, and one that tells
     whether it is known) and draws from them for its own replicates: no draw is a row, none is shuffled."""
-    _importable(stats.sparkSession)
+    spark = stats.sparkSession
+    _importable(spark)
     # a null stratum has no name to draw by, and meets nothing
     units = stats.select(F.col(stratum).cast("string").alias("stratum"), "query_id", F.col(value).cast("double").alias("value")).where("stratum is not null")
     ordered = units.repartitionByRange("stratum", "query_id", "value").sortWithinPartitions("stratum", "query_id", "value").select("stratum", "value")
     packed = ordered.mapInArrow(_packed, "stratum string, part int, number int, numbers binary, known binary")
     tasks = max(1, -(-replicates // REPLICATES_A_TASK))
     copies = packed.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "*").repartitionById(tasks, F.col("task"))
-    return copies.mapInArrow(_means(seed, replicates), "replicate long, mean double")
+    if not _in_jvm(spark):
+        return copies.mapInArrow(_means(seed, replicates), "replicate long, mean double")
+    # a task's rows are in its partition already, so this is no shuffle
+    held = copies.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("stratum", "part", "number", "numbers", "known"))).alias("parts"))
+    begin = F.col("task") * REPLICATES_A_TASK
+    means = F.call_function(_JVM_MEANS, F.lit(seed), "parts", begin, F.least(begin + REPLICATES_A_TASK, F.lit(replicates)))
+    return held.select("task", F.posexplode(means).alias("k", "mean")).select((begin + F.col("k")).cast("long").alias("replicate"), "mean")
 
 
 def cluster_sums(stats: DataFrame, cluster: str, values: list[str]) -> DataFrame:
