@@ -61,3 +61,13 @@ def test_stages_on_hard_rows_and_none(spark):
     kept = [r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SMALL).collect()]
     assert not {1, 2, 3, 11} & set(kept)  # null, empty, blanks, no letter
     assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, SMALL).collect() if r["doc_id"] in (4, 5)) == [5]
+
+
+def test_stages_give_heap_back(spark):
+    none = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    for name, stage in corpus_pipeline.STAGES:
+        spark.range(0, 4, 1, 4).selectExpr("length(repeat('x', cast(300000000 + id as int)))").collect()
+        before = runtime.totalMemory()
+        stage(spark, none, SMALL)
+        assert before > 1000 << 20 and runtime.totalMemory() < before - (400 << 20), name

@@ -31,6 +31,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their heap, which shrinks to what is in use: the collector alone keeps what it has
+    taken, up to the largest heap, beside Python workers that come later.  One task a core reaches every
+    executor that is idle; collections asked for at once are one."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def shared(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset and
     driver and executors are one machine."""
